@@ -70,18 +70,21 @@ def top_words(centroids: DataFrame, word_vectors: DataFrame, k: int = 5, label:
         for batch in batches:
             if not batch.num_rows or not labels:
                 continue
-            vectors = np.array(batch.column(1).to_pylist(), dtype=float)
+            words = np.array(batch.column(0).to_pylist(), dtype=object)
+            by_word = np.argsort(words, kind="stable")
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1)
+            vectors, words = vectors[by_word], words[by_word]
             lengths = np.linalg.norm(vectors, axis=1)
             cosines = (vectors @ matrix.T) / np.where(lengths > 0, lengths, 1.0)[:, None]
-            words = batch.column(0).to_pylist()
             # highest cosine first, then the word, as in the final ranking
-            rows = [
-                (j, words[i], cosines[i, j])
-                for j in range(len(labels))
-                for i in sorted(range(len(words)), key=lambda i: (-round(cosines[i, j], 9), words[i]))[:k]
-            ]
+            best = np.argsort(-np.round(cosines, 9), axis=0, kind="stable")[:k]
+            codes = np.tile(np.arange(len(labels), dtype=np.int32), len(best))
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.float64()))],
+                [
+                    pa.array(codes),
+                    pa.array(words[best.ravel()], pa.string()),
+                    pa.array(np.take_along_axis(cosines, best, axis=0).ravel()),
+                ],
                 ["code", "word", "similarity"],
             )
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .distances import close_pairs, nearest_big_cluster, pairwise_distances
 from .groups import centroids, dense_codes, largest_gap_threshold, quantile_bins, relabel
-from .placement import LOOKUP_ROWS, require_bounded
+from .placement import LOOKUP_ROWS, require_bounded, settle
 
 Labels = frozenset
 
@@ -112,8 +112,8 @@ def distance_merge_mapping(
 ) -> DataFrame:
     """(label, new_label) from merging labels with close centroids."""
     labels = df.select(F.col(label).alias("label"), F.col(features).alias("features"))
-    centers = materialize(centroids(labels), name="centroids")
-    distances = materialize(pairwise_distances(centers, metric).where("dist IS NOT NULL"), name="distances")
+    centers = settle(centroids(labels))
+    distances = settle(pairwise_distances(centers, metric).where("dist IS NOT NULL"))
     threshold = _threshold(distances, "dist", q)
     pairs = distances.where(F.lit(False)) if threshold is None else close_pairs(distances, threshold)
     return merge_labels(centers, pairs, rule)
@@ -124,7 +124,7 @@ def size_merge_mapping(
 ) -> DataFrame:
     """(label, new_label) from merging each small label into its closest big one."""
     labels = df.select(F.col(label).alias("label"), F.col(features).alias("features"))
-    centers = materialize(centroids(labels), name="centroids")
+    centers = settle(centroids(labels))
     threshold = _threshold(centers, "size", q)
     distances = pairwise_distances(centers).where("dist IS NOT NULL")
     if threshold is None:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_SHARE = 1000
 HOT_ROWS = 10_000
 SALTS = 64
@@ -87,6 +89,12 @@ def require_bounded(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     return small
 
 
+def settle(df: DataFrame, max_rows: int = 10 * LOOKUP_ROWS) -> DataFrame:
+    """Compute ``df`` once: a local table when it is small, a stage table otherwise."""
+    small = bounded(df, max_rows)
+    return materialize(df) if small is None else small
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,

@@ -1 +1 @@
-"""Composed jobs."""
+"""Composed jobs: ingest, training, summaries, report, artifact."""
