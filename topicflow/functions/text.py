@@ -35,6 +35,10 @@ def normalize_ws(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
+def strip(col: Column) -> Column:
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
+
+
 def clean_text(col: Column) -> Column:
     """Lower case, letters of the two alphabets only, single spaces."""
     return normalize_ws(F.regexp_replace(F.lower(col), NOT_LETTERS, " "))
@@ -69,8 +73,8 @@ def sentences(col: Column) -> Column:
 
 
 def lead_summary(col: Column, n: int = 2) -> Column:
-    """The first ``n`` sentence pieces joined by a space, trimmed."""
-    return F.trim(F.array_join(F.slice(sentences(col), 1, n), " "))
+    """The first ``n`` sentence pieces joined by a space, without outer whitespace."""
+    return strip(F.array_join(F.slice(sentences(col), 1, n), " "))
 
 
 def capitalize_sentence(col: Column) -> Column:
@@ -87,7 +91,7 @@ SENTENCE_END = r"([.!?]+[\"')\]]*)\s+"
 
 def first_sentences(col: Column, n: int = 3) -> Column:
     """The first ``n`` sentences, cut after end punctuation followed by space, joined by a space."""
-    marked = F.regexp_replace(F.trim(col), SENTENCE_END, "$1\u0001")
+    marked = F.regexp_replace(strip(col), SENTENCE_END, "$1\u0001")
     return F.array_join(F.slice(F.split(marked, "\u0001"), 1, n), " ")
 
 
