@@ -71,7 +71,7 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_vector(word: str) -> F.Column:
     """A vector per word from the digits of its md5: word vectors that SQL can compute too."""
-    digits = [f"(instr('0123456789abcdef', substr(md5({word}), {i}, 1)) - 8.5D) / 8D" for i in range(1, VECTOR_SIZE + 1)]
+    digits = [f"(instr('0123456789abcdef', substr(md5({word}), {i}, 1)) - 8.5D) * 0.09371238761D" for i in range(1, VECTOR_SIZE + 1)]
     return F.expr(f"array({', '.join(digits)})")
 
 
@@ -105,6 +105,11 @@ def lead_sql(x: str) -> str:
     return strip_sql(f"array_to_string(list_slice(string_split({x}, '.'), 1, 2), ' ')")
 
 
+def first_sentences_sql(x: str, n: int = 3) -> str:
+    marked = rf"regexp_replace({strip_sql(x)}, '([.!?]+[\"'')\]]*)\s+', '\1' || chr(1), 'g')"
+    return f"array_to_string(list_slice(string_split({marked}, chr(1)), 1, {n}), ' ')"
+
+
 SUMMARIES = f"summaries AS (SELECT 'doc://' || doc_id AS url, {lead_sql('text')} AS summary FROM documents)"
 
 
@@ -132,7 +137,7 @@ TFIDF = f"""{TF}, tfidf AS (
     SELECT url, token, tf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY url)) AS w
     FROM tf JOIN idf USING (token))"""
 _V = ", ".join(
-    f"(instr('0123456789abcdef', substr(md5(token), {i}, 1)) - 8.5) / 8.0 AS v{i}" for i in range(1, VECTOR_SIZE + 1)
+    f"(instr('0123456789abcdef', substr(md5(token), {i}, 1)) - 8.5) * 0.09371238761 :: DOUBLE AS v{i}" for i in range(1, VECTOR_SIZE + 1)
 )
 WORD_VECTORS = f"wv AS (SELECT token, {_V} FROM tokens GROUP BY token HAVING count(*) >= 2)"
 _SUMS = ", ".join(f"coalesce(sum(tf * w * v{i}) / sum(tf), 0) AS v{i}" for i in range(1, VECTOR_SIZE + 1))

@@ -113,7 +113,7 @@ PROFILES = f"""{_grams('doc_grams', 'documents', 'doc_id', 'text')},
 counts AS (SELECT lang, slot, count(*) AS n FROM doc_grams JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang, slot),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
 profiles AS (SELECT lang, slot, ln((coalesce(n, 0) + {SMOOTHING}) / (total + {SMOOTHING} * {SLOTS})) AS log_p
-    FROM totals, (SELECT unnest(range({SLOTS})) AS slot) LEFT JOIN counts USING (lang, slot))"""
+    FROM (SELECT lang, total, unnest(range({SLOTS})) AS slot FROM totals) LEFT JOIN counts USING (lang, slot))"""
 
 
 def _detected(grams: str, key: str) -> str:

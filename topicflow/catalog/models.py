@@ -78,8 +78,8 @@ def extract_topic_features(spark, sf):
 @query(
     "concat_level_features",
     """SELECT vec_id, CAST(i AS INTEGER) AS dim, round(x, 6) AS x FROM (
-        SELECT vec_id, unnest(both) AS x, generate_subscripts(both, 1) - 1 AS i
-        FROM (SELECT vec_id, list_concat(embedding :: DOUBLE[], embedding :: DOUBLE[]) AS both FROM embeddings))""",
+        SELECT vec_id, unnest(pair) AS x, generate_subscripts(pair, 1) - 1 AS i
+        FROM (SELECT vec_id, list_concat(embedding :: DOUBLE[], embedding :: DOUBLE[]) AS pair FROM embeddings))""",
 )
 def concat_level_features(spark, sf):
     one = as_array(F.col("features"))
@@ -90,7 +90,7 @@ def concat_level_features(spark, sf):
 
 @query("choose_k")
 def choose_k(spark, sf):
-    return T.choose_k(vectors(spark, sf), [5, 10, 20])
+    return T.choose_k(vectors(spark, sf).select("features"), [5, 10, 20])
 
 
 @query("soft_clusters")

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from ..operators import report as R
 from ..operators.summaries import lead_summarizer, summarize_topics
 from ..session import new_path
-from .base import LEVELS, SUMMARIES, TOPIC_LABELS, article_summaries, articles, query, table, topic_labels
+from .base import (
+    LEVELS,
+    SUMMARIES,
+    TOPIC_LABELS,
+    article_summaries,
+    articles,
+    first_sentences_sql,
+    query,
+    topic_labels,
+)
 from .topics import TOPIC_SUMMARIES
 
 NAMES = """names AS (
@@ -48,7 +57,7 @@ def topic_keywords(spark, sf):
 
 @query(
     "global_overview",
-    f"""WITH {TOPIC_SUMMARIES} SELECT string_agg(summary, chr(10) ORDER BY topic_path) AS overview
+    f"""WITH {TOPIC_SUMMARIES} SELECT string_agg({first_sentences_sql('summary')}, chr(10) ORDER BY topic_path) AS overview
     FROM topic_summaries WHERE level = 0""",
 )
 def global_overview(spark, sf):

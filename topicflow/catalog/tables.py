@@ -18,6 +18,7 @@ from .base import (
     WORD_VECTORS,
     TOKENS,
     articles,
+    as_sql_list,
     embeddings,
     query,
     table,
@@ -129,7 +130,7 @@ def load_word_vectors(spark, sf):
 
 def _unescape_sql(x: str) -> str:
     for entity, character in ENTITIES.items():
-        x = f"replace({x}, '{entity}', '{character}')"
+        x = f"replace({x}, {as_sql_list([entity])}, {as_sql_list([character])})"
     return x
 
 

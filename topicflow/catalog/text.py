@@ -20,10 +20,10 @@ from .base import (
     articles,
     clean_sql,
     cleaned,
+    first_sentences_sql,
     hash_vector,
     lead_sql,
     query,
-    strip_sql,
     table,
     word_vectors,
 )
@@ -122,9 +122,7 @@ def wrap_summary(spark, sf):
 
 @query(
     "first_sentences",
-    rf"""SELECT {DOC}, array_to_string(list_slice(string_split(
-        regexp_replace({strip_sql('text')}, '([.!?]+["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), 1, 3), ' ') AS lead
-    FROM documents""",
+    f"SELECT {DOC}, {first_sentences_sql('text')} AS lead FROM documents",
 )
 def first_sentences(spark, sf):
     return articles(spark, sf).select("url", X.first_sentences(F.col("content")).alias("lead"))

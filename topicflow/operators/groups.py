@@ -24,10 +24,10 @@ def cluster_sizes(df: DataFrame, label: str = "label") -> DataFrame:
     return sizes.withColumn("relative", F.col("size") / largest)
 
 
-def _rounded_edge(x: Column, precision: int) -> Column:
+def _rounded_edge(x: Column, precision: Column) -> Column:
     """Below 1: that many significant digits, from 1 up: that many decimals; half to even."""
     leading = -F.floor(F.log10(F.abs(x))) - 1 + precision
-    digits = F.when(F.abs(x) >= 1, F.lit(precision)).otherwise(leading)
+    digits = F.when(F.abs(x) >= 1, precision).otherwise(leading)
     return F.when(x == 0, x).otherwise(F.rint(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
 
 
@@ -41,17 +41,15 @@ def quantile_bins(df: DataFrame, col: str, q: int = 20) -> DataFrame:
     edges = df.agg(F.percentile(F.col(col).cast("double"), points).alias("e")).select(
         F.array_distinct("e").alias("e")
     )
-    rounded = [F.transform("e", lambda x, p=p: _rounded_edge(x, p)) for p in range(3, 20)]
-    distinct = [F.size(F.array_distinct(r)) == F.size("e") for r in rounded]
-    chosen = F.coalesce(
-        *(F.when(ok, F.struct(r.alias("e"), F.lit(p).alias("p"))) for p, r, ok in zip(range(3, 20), rounded, distinct)),
-        F.struct(rounded[0].alias("e"), F.lit(3).alias("p")),
-    )
+    tried = edges.where("size(e) > 1").select("e", F.explode(F.sequence(F.lit(3), F.lit(19))).alias("p"))
+    rounded = tried.select("p", F.transform("e", lambda x: _rounded_edge(x, F.col("p"))).alias("e"))
+    collide = F.size(F.array_distinct("e")) < F.size("e")
+    chosen = rounded.agg(F.min_by(F.struct("e", "p"), F.struct(collide, F.col("p"))).alias("c"))
     bins = F.expr(
         "transform(sequence(1, size(c.e) - 1), i -> struct(i - 1 AS bin, "
         "c.e[i - 1] - IF(i = 1, pow(10D, -c.p), 0D) AS left, c.e[i] AS right))"
     )
-    return edges.where("size(e) > 1").select(chosen.alias("c")).select(F.inline(bins))
+    return chosen.where("c IS NOT NULL").select(F.inline(bins))
 
 
 def largest_gap_threshold(bins: DataFrame) -> DataFrame:
