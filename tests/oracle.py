@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 
 ROOT = Path("/root/testdata")
+TIMES: dict[str, float] = {}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -46,8 +47,10 @@ def run_sql(connection, sql):
 
 def difference(spark, sf: str, name: str, fn, sql: str | None, connection=None) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     frame = fn(spark, str(ROOT / sf))
     columns, rows = _rows(frame.columns, [tuple(r) for r in frame.collect()])
+    TIMES[name] = time.time() - start
     if sql is None:
         return None if rows else "no rows"
     names, _, expected = run_sql(connection or duck(sf), sql)
@@ -84,5 +87,5 @@ if __name__ == "__main__":
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {'' if name in sqls else '(rows)'} {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {TIMES.get(name, 0):.1f}s of {time.time() - start:.1f}s {'' if name in sqls else '(rows)'} {problem or ''}", flush=True)
     print("failed:", bad)

@@ -44,8 +44,9 @@ def drop_all_duplicates(df: DataFrame, key: str = "url") -> tuple[DataFrame, Dat
     return kept, repeated.select(key)
 
 
-def distinct_texts(df: DataFrame) -> DataFrame:
-    return df.select("content").distinct().orderBy("content")
+def distinct_texts(df: DataFrame, ordered: bool = True) -> DataFrame:
+    distinct = df.select("content").distinct()
+    return distinct.orderBy("content") if ordered else distinct
 
 
 def distinct_of_columns(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,9 @@ from ..functions.vectors import as_array, as_vector, l2_normalize, mean_vector
 from ..session import materialize
 from .placement import hot_keys, lookup_join, skew_join
 
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 512 << 20
+DICTIONARY_ROWS = 500_000
+TEXTS_PER_TRAINING_TASK = 1_000_000
 
 
 def explode_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -33,7 +36,7 @@ def explode_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 def lemmatize(tokens: DataFrame, lemmas: DataFrame, spread: Iterable[str] = ("pos",)) -> DataFrame:
     """Replace tokens found in the dictionary (form, lemma); the others stay."""
     lemmas = lemmas.select(F.col("form").alias("token"), "lemma")
-    joined = lookup_join(tokens, lemmas, "token", list(spread), "left")
+    joined = lookup_join(tokens, lemmas, "token", list(spread), "left", DICTIONARY_ROWS)
     return joined.withColumn("token", F.coalesce("lemma", "token")).select(tokens.columns)
 
 
@@ -114,10 +117,14 @@ def fit_word_vectors(
     min_count: int = 2,
     epochs: int = 100,
     seed: int = 45,
-    partitions: int = 1,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """(word, vector) by skip-gram word2vec on the words of ``cleaned``."""
+    """(word, vector) by skip-gram word2vec on the words of ``cleaned``.
+
+    The texts are trained on in parallel parts, more of them for more texts.
+    """
     words = cleaned.select(F.split("cleaned", " ").alias("words"))
+    partitions = partitions or 8 + words.count() // TEXTS_PER_TRAINING_TASK
     model = Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
         numPartitions=partitions, inputCol="words", outputCol="v",
@@ -131,6 +138,7 @@ class TextVectorizer:
 
     vocabulary: DataFrame
     size: int
+    words: int
     lemmas: DataFrame | None = None
     use_tfidf: bool = True
 
@@ -141,9 +149,10 @@ class TextVectorizer:
     def word_vectors(self) -> DataFrame:
         return self.vocabulary.where("vector IS NOT NULL").select(F.col("token").alias("word"), "vector")
 
-    def _lookup(self, tf: DataFrame, key: str) -> DataFrame:
-        row_bytes = 8 * self.size + 64
-        return lookup_join(tf, self.vocabulary, "token", [key], "left", BROADCAST_BYTES // row_bytes)
+    @property
+    def slices(self) -> int:
+        """Parts of the vocabulary, each small enough to broadcast."""
+        return -(-self.words * (8 * self.size + 64) // BROADCAST_BYTES) or 1
 
     def transform(self, df: DataFrame, key: str = "url", text: str = "content") -> DataFrame:
         return self.transform_cleaned(preprocess_texts(df, key, text, self.lemmas), key)
@@ -154,8 +163,37 @@ class TextVectorizer:
         With weight ``tf * idf / norm`` the norm is one number per document, so one
         aggregation gives the weighted vector sum, the norm and the number of occurrences.
         A document without a known word gets the zero vector.
+
+        The words of a document already share a task and the vocabulary is broadcast, whole
+        or slice by slice, so word vectors are never shuffled: only short sums per document are.
         """
-        known = self._lookup(term_counts(cleaned, key), key)
+        tf = term_counts(cleaned, key)
+        if self.slices == 1:
+            sums = self._sums(tf, self.vocabulary, key)
+        else:
+            tf = materialize(tf, name="terms")
+            slice_of = F.pmod(F.xxhash64("token"), F.lit(self.slices))
+            parts = [
+                self._sums(tf.where(slice_of == i), self.vocabulary.where(slice_of == i), key)
+                for i in range(self.slices)
+            ]
+            sums = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+                mean_vector(F.col("m"), F.col("total")).alias("m"),
+                F.sum("total").alias("total"),
+                F.sum("used").alias("used"),
+                F.sum("square").alias("square"),
+            )
+        scale = F.col("total") / F.greatest(F.col("used"), F.lit(1))
+        if self.use_tfidf:
+            scale = F.try_divide(scale, F.sqrt("square"))
+        scale = F.coalesce(scale, F.lit(0.0))
+        return sums.select(key, scale.alias("scale"), as_array(F.col("m")).alias("m")).select(
+            key, as_vector(F.transform("m", lambda x: x * F.col("scale"))).alias("features")
+        )
+
+    def _sums(self, tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+        """(key, m, total, used, square): weighted mean, its weight, occurrences, squared norm."""
+        known = tf.join(F.broadcast(vocabulary), "token", "left")
         usable = F.col("vector").isNotNull() & (F.col("idf").isNotNull() | F.lit(not self.use_tfidf))
         weight = F.col("tf") * F.col("tf") * F.col("idf") if self.use_tfidf else F.col("tf").cast("double")
         zeros = F.array_repeat(F.lit(0.0), self.size)
@@ -167,18 +205,11 @@ class TextVectorizer:
             as_vector(F.when(usable, F.col("vector")).otherwise(zeros)).alias("v"),
             F.coalesce(F.pow(F.col("tf") * F.col("idf"), 2), F.lit(0.0)).alias("square"),
         )
-        sums = rows.groupBy(key).agg(
+        return rows.groupBy(key).agg(
             mean_vector(F.col("v"), F.col("weight")).alias("m"),
             F.sum("weight").alias("total"),
             F.sum("used").alias("used"),
-            F.sqrt(F.sum("square")).alias("norm"),
-        )
-        scale = F.col("total") / F.greatest(F.col("used"), F.lit(1))
-        if self.use_tfidf:
-            scale = F.try_divide(scale, F.col("norm"))
-        scale = F.coalesce(scale, F.lit(0.0))
-        return sums.select(key, scale.alias("scale"), as_array(F.col("m")).alias("m")).select(
-            key, as_vector(F.transform("m", lambda x: x * F.col("scale"))).alias("features")
+            F.sum("square").alias("square"),
         )
 
 
@@ -199,8 +230,8 @@ def fit_vectorizer(
         word_vectors.withColumnRenamed("word", "token").join(idf.select("token", "idf"), "token", "full_outer"),
         name="vocabulary",
     )
-    size = vocabulary.where("vector IS NOT NULL").select(F.size("vector")).first()
-    return TextVectorizer(vocabulary, size[0] if size else 1, lemmas)
+    size, words = vocabulary.agg(F.max(F.size("vector")), F.count("*")).first()
+    return TextVectorizer(vocabulary, size if size and size > 0 else 1, words, lemmas)
 
 
 def mean_pool(token_vectors: DataFrame, key: str, vector: str, mask: Column | None = None) -> DataFrame:

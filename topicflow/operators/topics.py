@@ -6,9 +6,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,9 +97,9 @@ def fit_topic_node(
 
     One cluster left by distance gives a constant node; one left by size keeps the first
     classifier.  The latent features do not depend on labels, so only the classifier is refitted.
+    Cluster labels are recomputed from the model where needed; only the short latent rows are staged.
     """
     clustered = cluster(df.select("features"), k, seed)
-    clustered = materialize(clustered, name="clustered")
     mapping = settle(distance_merge_mapping(clustered, "label", q=q))
     topics = mapping.select("new_label").distinct().count()
     if topics == 1:
@@ -107,7 +109,6 @@ def fit_topic_node(
     reduced = materialize(reduced.select("latent", F.col("new_label").alias("label")), name="latent")
     first = TopicNode(None, reducer, fit_classifier(reduced, "label", max_iter), topics)
     predicted = first.classifier.transform(reduced).select("latent", F.col("topic").cast("int").alias("label"))
-    predicted = materialize(predicted, name="predicted")
     mapping = settle(size_merge_mapping(predicted, "label", "latent", q))
     topics = mapping.select("new_label").distinct().count()
     if topics == 1:
@@ -248,15 +249,30 @@ def choose_k(df: DataFrame, ks: Sequence[int], seed: int = 45) -> DataFrame:
 def soft_clusters(
     df: DataFrame, k: int, seed: int = 45, top: int | None = None, max_iter: int = 30, label: str = "label"
 ) -> DataFrame:
-    """Adds ``probabilities`` (optionally only the ``top`` largest, renormalized) and the hard label."""
-    model = GaussianMixture(
-        k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol=label, probabilityCol="_p"
-    ).fit(df)
-    probabilities = as_array(F.col("_p"))
+    """Adds ``probabilities`` (optionally only the ``top`` largest, renormalized) and the hard label.
+
+    Posterior of round clusters of one width around the k-means centers.  Unlike full
+    covariances it stays defined for copies of one row and for clusters of one point.
+    """
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol=label).fit(df)
+    centers = np.array(model.clusterCenters())
+    sizes = np.maximum(np.array(model.summary.clusterSizes, dtype=float), 1.0)
+    width = max(2.0 * model.summary.trainingCost / (sizes.sum() * centers.shape[1]), 1e-12)
+    offset = np.log(sizes / sizes.sum()) - (centers**2).sum(axis=1) / width
+
+    @F.pandas_udf("array<double>")
+    def posterior(features: pd.Series) -> pd.Series:
+        # the squared norm of a row is the same for every center and cancels
+        logs = np.stack(features.to_numpy()) @ centers.T * (2.0 / width) + offset
+        weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return pd.Series(list(weights / weights.sum(axis=1, keepdims=True)))
+
+    scored = df.withColumn("probabilities", posterior(as_array(F.col("features"))))
+    largest = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    scored = scored.withColumn(label, largest.cast("int"))
     if top is None:
-        return model.transform(df).withColumn("probabilities", probabilities).drop("_p")
-    scored = model.transform(df).withColumn("_a", probabilities)
-    return scored.withColumn("probabilities", topk_renormalize(F.col("_a"), top)).drop("_p", "_a")
+        return scored
+    return scored.withColumn("probabilities", topk_renormalize(F.col("probabilities"), top))
 
 
 def soft_cluster_tree(df: DataFrame, ks: Sequence[int], key: str = "url", seed: int = 45) -> DataFrame:

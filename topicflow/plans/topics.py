@@ -47,7 +47,7 @@ def train_topics(
 
     The texts are distinct, so a text is its own key; a hash of it is shorter to shuffle.
     """
-    keyed = lambda df: distinct_texts(df).select(F.sha2("content", 256).alias("url"), "content")
+    keyed = lambda df: distinct_texts(df, ordered=False).select(F.sha2("content", 256).alias("url"), "content")
     fresh = materialize(keyed(fresh_since(articles, since)), name="fresh")
     corpus = fresh if fit_on == "fresh" else keyed(articles)
     vectorizer = fit_vectorizer(corpus, lemmas=lemmas, word_vectors=word_vectors, **(word2vec or {}))
