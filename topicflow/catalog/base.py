@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import EXTRA_STOP_WORDS, STOP_WORDS, lead_summary
 from ..functions.vectors import as_vector
 from ..operators.terms import preprocess_texts
+from ..session import spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,16 +36,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_scan(table(spark, sf, "pages").select("url", "html"), "url")
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """documents as articles; the parse time is derived from the id, as the table has none."""
     parsed = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id * 60)")
-    return table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select(
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("title"),
         F.col("text").alias("content"),
         F.lit(None).cast("string").alias("published_at"),
         parsed.cast("string").alias("parse_datetime"),
     )
+    return spread_scan(rows, "url")
 
 
 def topic_labels(spark: SparkSession, sf: str) -> DataFrame:

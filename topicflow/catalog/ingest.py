@@ -14,10 +14,10 @@ from ..operators.dedup import (
 )
 from ..operators.lang import SLOTS, SMOOTHING, detect_language, fit_language_profiles, select_language
 from ..plans.ingest import ingest
-from ..session import new_path
+from ..session import new_path, spread_scan
 from ..sources import store
 from ..streaming.ingest import ingest_stream
-from .base import ARTICLES, LANGUAGES, articles, query, table
+from .base import ARTICLES, LANGUAGES, articles, pages, query, table
 from .tables import EXTRACTED
 
 COUNTED = """counted AS (
@@ -123,7 +123,8 @@ detected AS (SELECT {key}, arg_max(lang, s) AS language, 1 / sum(exp(s - best))
 
 
 def profiles(spark, sf):
-    return fit_language_profiles(table(spark, sf, "documents"), LANGUAGES, "text")
+    labelled = spread_scan(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return fit_language_profiles(labelled, LANGUAGES, "text")
 
 
 @query(
@@ -175,10 +176,9 @@ def _stored(spark, paths):
 @query("ingest", INGESTED)
 def ingested(spark, sf):
     paths = _store(spark)
-    pages = table(spark, sf, "pages").select("url", "html")
     # the second run finds every stored and rejected url known; other languages come again and are left out again
     for _ in range(2):
-        ingest(pages, *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00"))
+        ingest(pages(spark, sf), *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00"))
     return _stored(spark, paths)
 
 

@@ -20,6 +20,7 @@ from .base import (
     articles,
     as_sql_list,
     embeddings,
+    pages,
     query,
     table,
     topic_labels,
@@ -164,17 +165,17 @@ candidates AS (SELECT site, url FROM links WHERE url IS NOT NULL
     "'2024-01-01 00:00:00' AS parse_datetime FROM extracted",
 )
 def extracted_articles(spark, sf):
-    return extract_articles(table(spark, sf, "pages"), F.lit("2024-01-01 00:00:00"))
+    return extract_articles(pages(spark, sf), F.lit("2024-01-01 00:00:00"))
 
 
 @query("discover_urls", f"WITH {LINKS} SELECT site, url FROM links WHERE url IS NOT NULL")
 def discovered_urls(spark, sf):
-    return discover_urls(table(spark, sf, "pages"))
+    return discover_urls(pages(spark, sf))
 
 
 def _candidates(spark, sf):
-    pages = table(spark, sf, "pages")
-    return discover_urls(pages).unionByName(pages.select(site_of(F.col("url")).alias("site"), "url"))
+    rows = pages(spark, sf)
+    return discover_urls(rows).unionByName(rows.select(site_of(F.col("url")).alias("site"), "url"))
 
 
 @query(
@@ -182,7 +183,7 @@ def _candidates(spark, sf):
     f"WITH {LINKS} SELECT site, url FROM candidates WHERE url NOT IN (SELECT url FROM pages)",
 )
 def new_urls_of_links(spark, sf):
-    return new_urls(_candidates(spark, sf), table(spark, sf, "pages"))
+    return new_urls(_candidates(spark, sf), pages(spark, sf))
 
 
 @query(
@@ -192,7 +193,7 @@ def new_urls_of_links(spark, sf):
     FROM candidates LEFT JOIN known USING (url) GROUP BY site""",
 )
 def fetch_stats_of_sites(spark, sf):
-    return fetch_stats(_candidates(spark, sf), table(spark, sf, "pages"))
+    return fetch_stats(_candidates(spark, sf), pages(spark, sf))
 
 
 @query(
@@ -200,4 +201,4 @@ def fetch_stats_of_sites(spark, sf):
     "SELECT 'doc://' || doc_id AS url FROM documents UNION ALL SELECT url FROM pages",
 )
 def ignore_list(spark, sf):
-    return store.urls_to_ignore(articles(spark, sf), table(spark, sf, "pages"))
+    return store.urls_to_ignore(articles(spark, sf), pages(spark, sf))

@@ -54,7 +54,8 @@ def remove_stopwords(tokens: Column, words: Iterable[str] = STOP_WORDS) -> Colum
 
 
 def stub_if_empty(col: Column) -> Column:
-    return F.when(col == "", F.lit(STUB)).otherwise(col)
+    # a pattern instead of a comparison: the text is computed once
+    return F.regexp_replace(col, r"^\z", STUB.replace("$", r"\$"))
 
 
 def preprocess(col: Column, words: Iterable[str] = STOP_WORDS) -> Column:
