@@ -198,7 +198,8 @@ def term_doc_freq(spark, sf):
 def tfidf(spark, sf):
     texts = cleaned(spark, sf)
     tf = terms.term_counts(texts)
-    return terms.tfidf(tf, terms.inverse_doc_freq(tf, texts)).withColumn("w", F.round("w", 6))
+    idf = materialize(terms.inverse_doc_freq(tf, texts), name="idf")
+    return terms.tfidf(tf, idf).withColumn("w", F.round("w", 6))
 
 
 @query(

@@ -27,7 +27,8 @@ ENGLISH_STOP_WORDS = (
 ).split()
 STOP_WORDS = sorted({*EXTRA_STOP_WORDS, *ENGLISH_STOP_WORDS})
 STUB = "$$$STUB$$$"
-NOT_LETTERS = r"[^A-Za-zА-Яа-я\s]+"
+# for lower-cased text: a run of other characters, spaces among them, becomes one space
+NOT_LETTERS = "[^a-zа-я]+"
 
 
 def normalize_ws(col: Column) -> Column:
@@ -41,7 +42,7 @@ def strip(col: Column) -> Column:
 
 def clean_text(col: Column) -> Column:
     """Lower case, letters of the two alphabets only, single spaces."""
-    return normalize_ws(F.regexp_replace(F.lower(col), NOT_LETTERS, " "))
+    return F.trim(F.regexp_replace(F.lower(col), NOT_LETTERS, " "))
 
 
 def tokenize(cleaned: Column, min_length: int = 1) -> Column:

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_ws
 from .placement import require_bounded
 
 SLOTS = 1 << 14
@@ -26,14 +25,14 @@ NOT_LETTERS = r"[^\p{L}]+"
 
 def letters(text: Column) -> Column:
     """Lower-case letters with one space between words and at both ends."""
-    words = normalize_ws(F.regexp_replace(F.lower(text), NOT_LETTERS, " "))
+    words = F.trim(F.regexp_replace(F.lower(text), NOT_LETTERS, " "))
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
 def trigram_slots(text: str) -> np.ndarray:
     """Slot of every run of three characters."""
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return ((codes[:-2] * 1021 + codes[1:-1]) * 1021 + codes[2:]) % SLOTS
+    return ((codes[:-2] * 1021 + codes[1:-1]) * 1021 + codes[2:]) & (SLOTS - 1)
 
 
 def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: str = "content") -> DataFrame:
@@ -74,7 +73,9 @@ def language_of(profiles: DataFrame, languages: Sequence[str]):
 
     @F.pandas_udf("language string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        sums = np.array([log_p[trigram_slots(t)].sum(axis=0) for t in texts.fillna("  ")])
+        sums = np.array(
+            [np.bincount(trigram_slots(t), minlength=SLOTS) @ log_p for t in texts.fillna("  ")]
+        )
         weights = np.exp(sums - sums.max(axis=1, keepdims=True))
         known = (texts.str.len() > 2).to_numpy()
         return pd.DataFrame(

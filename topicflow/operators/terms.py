@@ -93,7 +93,7 @@ def inverse_doc_freq(tf: DataFrame, documents: DataFrame) -> DataFrame:
 def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url") -> DataFrame:
     """(key, token, tf, w): tf * idf, scaled to unit length per document.
 
-    Frequent words are hot keys of the join; their document counts are known from ``idf``.
+    ``idf`` is read several times and best given as a stage table.  Frequent words are hot keys of the join; their document counts are known from ``idf``.
     """
     hot = hot_keys(tf, "token", counts=idf.select("token", F.col("df").alias("rows")))
     weighted = skew_join(tf, idf.select("token", "idf"), "token", [key], hot=hot).withColumn(
