@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..session import materialize
 from .placement import hot_keys, skew_join
 
 
@@ -28,20 +29,21 @@ def drop_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_all_duplicates(df: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """(rows whose text occurs once, urls of all copies of repeated texts).
 
-    Hashes are counted with partial aggregation.  A hash under which very many rows fall is
-    known to be repeated, so those rows are decided by a broadcast of the few hot hashes and
-    never meet on one task; the others are decided by a join on the hash.
+    Hashes are counted with partial aggregation, and those that repeat are staged.  A hash
+    under which very many rows fall is known to repeat, so those rows are decided by a
+    broadcast of the few hot hashes and never meet on one task; the others are decided by a
+    join on the hash.
     """
     hashed = df.withColumn("_h", content_hash(F.col("content")))
     counts = hashed.groupBy("_h").agg(F.count("*").alias("rows"))
-    hot = F.broadcast(hot_keys(hashed, "_h", counts=counts).join(counts.where("rows > 1"), "_h", "left_semi"))
-    cold = hashed.join(hot, "_h", "left_anti")
-    kept = cold.join(counts.where("rows = 1"), "_h", "left_semi").drop("_h")
+    repeated = materialize(counts.where("rows > 1"), name="repeated")
+    hot = F.broadcast(hot_keys(hashed, "_h", counts=repeated))
+    kept = hashed.join(hot, "_h", "left_anti").join(repeated, "_h", "left_anti").drop("_h")
     narrow = hashed.select(key, "_h")
-    repeated = narrow.join(hot, "_h", "left_semi").unionByName(
-        narrow.join(hot, "_h", "left_anti").join(counts.where("rows > 1"), "_h", "left_semi")
+    rejected = narrow.join(hot, "_h", "left_semi").unionByName(
+        narrow.join(hot, "_h", "left_anti").join(repeated, "_h", "left_semi")
     )
-    return kept, repeated.select(key)
+    return kept, rejected.select(key)
 
 
 def distinct_texts(df: DataFrame, ordered: bool = True) -> DataFrame:

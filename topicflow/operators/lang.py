@@ -43,9 +43,13 @@ def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: s
         # one task sends at most SLOTS rows per language
         counts = np.zeros((len(index), SLOTS), dtype=np.int64)
         for batch in batches:
+            slots: dict[str, list[np.ndarray]] = {name: [] for name in index}
             for lang, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang in index and value is not None:
-                    counts[index[lang]] += np.bincount(trigram_slots(value), minlength=SLOTS)
+                    slots[lang].append(trigram_slots(value))
+            for lang, found in slots.items():
+                if found:
+                    counts[index[lang]] += np.bincount(np.concatenate(found), minlength=SLOTS)
         lang, slot = np.nonzero(counts)
         yield pa.record_batch(
             [pa.array(lang, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[lang, slot])],
@@ -68,14 +72,13 @@ def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: s
 def language_of(profiles: DataFrame, languages: Sequence[str]):
     """A column function: text → (language, score); null for a text without trigrams."""
     table = require_bounded(profiles, SLOTS).toArrow().sort_by("slot")
-    log_p = np.array(table.column("log_p").to_pylist())
+    log_p = np.array(table.column("log_p").to_pylist()).T.copy()
     names = np.array(languages, dtype=object)
 
     @F.pandas_udf("language string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        sums = np.array(
-            [np.bincount(trigram_slots(t), minlength=SLOTS) @ log_p for t in texts.fillna("  ")]
-        )
+        slots = (trigram_slots(t) for t in texts.fillna("  "))
+        sums = np.array([[of_lang.take(s).sum() for of_lang in log_p] for s in slots])
         weights = np.exp(sums - sums.max(axis=1, keepdims=True))
         known = (texts.str.len() > 2).to_numpy()
         return pd.DataFrame(
@@ -85,7 +88,9 @@ def language_of(profiles: DataFrame, languages: Sequence[str]):
             }
         )
 
-    return lambda text: score(letters(text))
+    # not to be repeated by filters that are pushed below
+    once = score.asNondeterministic()
+    return lambda text: once(letters(text))
 
 
 def detect_language(

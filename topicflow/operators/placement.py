@@ -29,7 +29,8 @@ def hot_keys(
     """Keys that hold more than 1/``share`` of all rows, and at least ``min_rows``.
 
     Fewer than ``share`` keys can do so, whatever the data: the result is small enough to
-    broadcast by construction.  ``counts`` (key, rows) is used when already known.
+    broadcast by construction.  ``counts`` (key, rows) is used when already known; it may
+    leave out rare keys, as the share is then one of the rows it counts.
     """
     if counts is None:
         counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
