@@ -2,8 +2,8 @@
 
 Trigrams fall into a fixed number of slots, so a profile has ``SLOTS`` rows whatever the
 corpus.  Lower-casing and letter selection are built-in expressions; counting and scoring
-the trigrams of a batch of texts are array operations inside the tasks (exploding every
-trigram into a row was some fifty times slower).  Scoring shuffles nothing.
+the trigrams of a batch of texts are array operations inside the tasks, so that no trigram
+becomes a row.  Scoring shuffles nothing.
 """
 
 from __future__ import annotations
