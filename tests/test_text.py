@@ -98,6 +98,18 @@ def test_doc_vectors_equal_brute_force(spark, monkeypatch, use_tfidf, broadcast_
         assert np.allclose(found[url], v), url
 
 
+def test_tfidf_is_the_same_by_broadcast_and_by_salted_join(spark):
+    df = spark.createDataFrame(TEXTS, "url string, content string")
+    cleaned = terms.preprocess_texts(df)
+    tf = terms.term_counts(cleaned)
+    idf = terms.inverse_doc_freq(tf, cleaned)
+    found = [
+        {(r.url, r.token): round(r.w, 9) for r in terms.tfidf(tf, idf, broadcast_rows=n).collect()} for n in (0, 100)
+    ]
+    assert found[0] == found[1] and found[0]["d2", "blue"] > 0
+    assert not any(url == "d3" for url, _ in found[0])
+
+
 def test_lemmas_are_applied_before_stop_words(spark):
     df = spark.createDataFrame([("d", "Cats were running, cat"), ("e", "!")], "url string, content string")
     lemmas = spark.createDataFrame([("cats", "cat"), ("running", "the")], "form string, lemma string")

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .distances import close_pairs, nearest_big_cluster, pairwise_distances
 from .groups import centroids, dense_codes, largest_gap_threshold, quantile_bins, relabel
-from .placement import LOOKUP_ROWS, require_bounded, settle
+from .placement import require_bounded, settle
 
+PAIR_ROWS = 1_000_000
 Labels = frozenset
 
 
@@ -53,8 +54,11 @@ def overlapping_groups(pairs: Iterable[tuple[int, int]]) -> list[Labels]:
 
 
 def _overlap_mapping(pairs: DataFrame) -> DataFrame:
-    """(label, target) for labels that change; the pairs of k labels are few, which is checked."""
-    small = require_bounded(pairs.select("a", "b"), LOOKUP_ROWS).collect()
+    """(label, target) for labels that change; the pairs of k labels are few, which is checked.
+
+    Beyond that number the closure rule works without the driver.
+    """
+    small = require_bounded(pairs.select("a", "b"), PAIR_ROWS).collect()
     moves = [(label, min(g)) for g in overlapping_groups((r.a, r.b) for r in small) for label in sorted(g)]
     label_type = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("label", label_type), T.StructField("target", label_type)])

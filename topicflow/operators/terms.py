@@ -25,6 +25,7 @@ from .placement import hot_keys, lookup_join, skew_join
 
 BROADCAST_BYTES = 512 << 20
 DICTIONARY_ROWS = 500_000
+IDF_ROWS = 2_000_000
 TEXTS_PER_TRAINING_TASK = 1_000_000
 
 
@@ -90,15 +91,20 @@ def inverse_doc_freq(tf: DataFrame, documents: DataFrame) -> DataFrame:
     return term_doc_freq(tf.where(in_vocabulary())).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url") -> DataFrame:
+def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url", broadcast_rows: int = IDF_ROWS) -> DataFrame:
     """(key, token, tf, w): tf * idf, scaled to unit length per document.
 
-    ``idf`` is read several times and best given as a stage table.  Frequent words are hot keys of the join; their document counts are known from ``idf``.
+    ``idf`` is read several times and best given as a stage table.  It is broadcast when its
+    counted size allows, and then nothing but the words was shuffled.  Beyond that, frequent
+    words are hot keys of a salted join; their document counts are known from ``idf``.
     """
-    hot = hot_keys(tf, "token", counts=idf.select("token", F.col("df").alias("rows")))
-    weighted = skew_join(tf, idf.select("token", "idf"), "token", [key], hot=hot).withColumn(
-        "raw", F.col("tf") * F.col("idf")
-    )
+    weights = idf.select("token", "idf")
+    if idf.count() <= broadcast_rows:
+        weighted = tf.join(F.broadcast(weights), "token")
+    else:
+        hot = hot_keys(tf, "token", counts=idf.select("token", F.col("df").alias("rows")))
+        weighted = skew_join(tf, weights, "token", [key], hot=hot)
+    weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
     # one document's distinct words: bounded by the length of a text
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "token", "tf", (F.col("raw") / norm).alias("w"))
