@@ -110,6 +110,16 @@ def test_tfidf_is_the_same_by_broadcast_and_by_salted_join(spark):
     assert not any(url == "d3" for url, _ in found[0])
 
 
+@pytest.mark.parametrize("broadcast_bytes", [terms.BROADCAST_BYTES, 0])
+def test_lookup_vectors_keeps_every_known_occurrence(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(terms, "BROADCAST_BYTES", broadcast_bytes)
+    tokens = spark.createDataFrame([("d", 0, "red"), ("d", 1, "red"), ("d", 2, "x"), ("e", 0, "blue")], "url string, pos int, token string")
+    wv = spark.createDataFrame(list(VECTORS.items()), "word string, vector array<double>")
+    idf = spark.createDataFrame([("red", 1.5), ("x", 1.0), ("fish", 2.0)], "token string, idf double")
+    found = terms.lookup_vectors(tokens, wv, idf, ["url", "pos"]).collect()
+    assert sorted((r.url, r.pos, r.idf, tuple(r.vector)) for r in found) == [("d", 0, 1.5, (1.0, 0.0)), ("d", 1, 1.5, (1.0, 0.0))]
+
+
 def test_lemmas_are_applied_before_stop_words(spark):
     df = spark.createDataFrame([("d", "Cats were running, cat"), ("e", "!")], "url string, content string")
     lemmas = spark.createDataFrame([("cats", "cat"), ("running", "the")], "form string, lemma string")

@@ -110,10 +110,23 @@ def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url", broadcast_rows: int =
     return weighted.select(key, "token", "tf", (F.col("raw") / norm).alias("w"))
 
 
+def row_bytes(size: int) -> int:
+    """Memory of one vocabulary row."""
+    return 8 * size + 64
+
+
 def lookup_vectors(tokens: DataFrame, word_vectors: DataFrame, idf: DataFrame, spread: Iterable[str]) -> DataFrame:
-    """Tokens known to both vocabularies with vector and idf; each occurrence counts."""
-    vocabulary = word_vectors.withColumnRenamed("word", "token").join(idf.select("token", "idf"), "token")
-    return lookup_join(tokens, vocabulary, "token", list(spread), "inner")
+    """Tokens known to both vocabularies with vector and idf; each occurrence counts.
+
+    The vocabulary is staged, measured, and broadcast or joined with salts.
+    """
+    vocabulary = materialize(
+        word_vectors.withColumnRenamed("word", "token").join(idf.select("token", "idf"), "token"), name="vocabulary"
+    )
+    size, words = vocabulary.agg(F.max(F.size("vector")), F.count("*")).first()
+    if words * row_bytes(size or 0) <= BROADCAST_BYTES:
+        return tokens.join(F.broadcast(vocabulary), "token")
+    return skew_join(tokens, vocabulary, "token", list(spread))
 
 
 def fit_word_vectors(
@@ -158,7 +171,7 @@ class TextVectorizer:
     @property
     def slices(self) -> int:
         """Parts of the vocabulary, each small enough to broadcast."""
-        return -(-self.words * (8 * self.size + 64) // BROADCAST_BYTES) or 1
+        return -(-self.words * row_bytes(self.size) // BROADCAST_BYTES) or 1
 
     def transform(self, df: DataFrame, key: str = "url", text: str = "content") -> DataFrame:
         return self.transform_cleaned(preprocess_texts(df, key, text, self.lemmas), key)
