@@ -48,11 +48,11 @@ def topic_edges(spark, sf):
 
 @query(
     "topic_keywords",
-    f"""WITH {TOPIC_LABELS}, {NAMES} SELECT 'news vibe, newsvibe, news, ' ||
+    f"""WITH {TOPIC_LABELS}, {NAMES} SELECT 'daily, news, ' ||
         string_agg(replace(name, ' ', ', '), ', ' ORDER BY topic_path) AS keywords FROM names WHERE level = 0""",
 )
 def topic_keywords(spark, sf):
-    return R.topic_keywords(names(spark, sf))
+    return R.topic_keywords(names(spark, sf), ("daily", "news"))
 
 
 @query(

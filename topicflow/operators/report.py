@@ -13,8 +13,8 @@ from .groups import centroids, explode_paths, join_strings, topic_path
 from .placement import shuffle_hash
 from .sampling import sample_per_topic
 
-# Search words of the published page.
-FIXED_KEYWORDS = ("news vibe", "newsvibe", "news")
+# Search words of the published page; a site passes its own name here.
+FIXED_KEYWORDS = ("news",)
 CHUNK_ROWS = 1000
 
 
@@ -110,6 +110,7 @@ def artifact_header(
     update_time: Column,
     links_per_topic: int = 100,
     key: str = "url",
+    keywords: Sequence[str] = FIXED_KEYWORDS,
 ) -> DataFrame:
     """One row with all parts whose size depends on topics, not on articles."""
     links = short_links(assembled, links_per_topic, key)
@@ -119,7 +120,7 @@ def artifact_header(
         "news_count",
         sources.agg(F.count("*")).scalar().alias("sources_count"),
         format_time(update_time).alias("update_time"),
-        topic_keywords(names).scalar().alias("keywords"),
+        topic_keywords(names, keywords).scalar().alias("keywords"),
         global_overview(topic_summaries).scalar().alias("short_global_overview"),
         topic_summaries.agg(summaries).scalar().alias("topic_summaries"),
         links.agg(F.transform(linked, lambda x: F.array(x[key], x["summary"]))).scalar().alias("short_global_links"),

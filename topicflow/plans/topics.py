@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import distinct_texts, fresh_since
 from ..operators.report import (
+    FIXED_KEYWORDS,
     article_columns,
     artifact_header,
     assemble_articles,
@@ -103,10 +104,11 @@ def build_artifact(
     since: str,
     levels: Sequence[str],
     path: str,
+    keywords: Sequence[str] = FIXED_KEYWORDS,
 ) -> None:
     """Write the artifact of the fresh articles."""
     assembled = materialize(
         assemble_articles(fresh_since(articles, since), summaries, labels), name="assembled"
     )
-    header = artifact_header(assembled, topic_summaries, names, sources, F.lit(since).cast("timestamp"))
+    header = artifact_header(assembled, topic_summaries, names, sources, F.lit(since).cast("timestamp"), keywords=keywords)
     write_artifact(header, article_columns(assembled, levels), path)
