@@ -103,17 +103,19 @@ def host_verdicts(failures: DataFrame, host_limit: float = HOST_LIMIT) -> DataFr
     rate = F.col("host_failed") / F.col("host_docs")
     moments = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
     spread = F.col("m") * (1 - F.col("m"))
-    moments = moments.select(
-        F.when(spread > 0, F.col("m")).otherwise(0.5).alias("_mean"),
-        F.when((F.col("v") > 0) & (spread > F.col("v")), spread / F.col("v") - 1).otherwise(2.0).alias("_strength"),
-    )
-    # one row by construction: the aggregate above has no keys
-    shrunk = (F.col("host_failed") + F.col("_mean") * F.col("_strength")) / (F.col("host_docs") + F.col("_strength"))
+    prior = moments.select(
+        F.struct(
+            F.when(spread > 0, F.col("m")).otherwise(0.5).alias("mean"),
+            F.when((F.col("v") > 0) & (spread > F.col("v")), spread / F.col("v") - 1).otherwise(2.0).alias("strength"),
+        )
+    ).scalar()
+    weight = F.col("_prior.strength")
+    shrunk = (F.col("host_failed") + F.col("_prior.mean") * weight) / (F.col("host_docs") + weight)
     return (
-        hosts.join(F.broadcast(moments))
+        hosts.withColumn("_prior", prior)
         .withColumn("host_rate", shrunk)
         .withColumn("host_kept", F.col("host_rate") < host_limit)
-        .drop("_mean", "_strength")
+        .drop("_prior")
     )
 
 
