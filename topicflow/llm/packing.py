@@ -142,9 +142,8 @@ def piece_table(
 
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     schema = (
-        T.StructType([rows.schema["doc_id"]])
-        .add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
-        .add("_rank", "long").add("_part", "int")
+        T.StructType([rows.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("length", "long")
+        .add("ids_crc32", "long").add("_rank", "long").add("_part", "integer")
     )
     if keep_ids:
         schema = schema.add("ids", "binary")

@@ -69,7 +69,7 @@ def _repeated_words(chunk: Chunk, window: int) -> np.ndarray:
     return np.diff(total[chunk.word_bounds])
 
 
-def measure_texts(texts: pa.Array, window: int = WINDOW) -> pa.StructArray:
+def measure_texts(texts: pa.Array) -> pa.Array:
     parts = []
     for chunk in chunks(texts):
         letters = (chunk.data & 0xC0) != 0x80
@@ -79,7 +79,7 @@ def measure_texts(texts: pa.Array, window: int = WINDOW) -> pa.StructArray:
                 "word_chars": chunk.per_text(letters & ~chunk.is_space),
                 "n_symbols": chunk.per_text(_IS_SYMBOL[chunk.data]),
                 "n_dup_lines": _duplicate_lines(chunk),
-                "n_repeat_words": _repeated_words(chunk, window),
+                "n_repeat_words": _repeated_words(chunk, WINDOW),
             }
         )
     return concat_columns(parts, FIELDS)

@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import held_out
+from .languages import identify_languages
+from .minhash import near_duplicates
 from .mixing import mix_rates
 from .packing import pack
 from .quality_rules import judge_documents
+from .toxicity import THRESHOLD, score_toxicity
+from .vector_join import link_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +44,25 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query("op2_language_bitmask")
+def language_bitmask(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    found = identify_languages(docs, ~out)
+    return found.select(
+        "doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
+@query("op3_toxicity_machine")
+def toxicity_machine(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"))
+    scored = score_toxicity(docs, table(spark, sf, "labels"), ~out)
+    score = F.col("toxicity")
+    return scored.select("doc_id", out.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query(
     "op4_quality_rules",
     rf"""
@@ -105,3 +129,30 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mix = mix_rates(table(spark, sf, "documents").select("doc_id", "text", "source"))
     taken = (F.col("mix.size") * F.col("mix.copies")).alias("taken")
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken)
+
+
+@query(
+    "op9_vector_near_duplicates",
+    """
+WITH RECURSIVE units AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x :: DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)""",
+)
+def vector_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return link_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op10_minhash_near_duplicates")
+def minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
