@@ -7,13 +7,14 @@ with a logistic loss on a bounded sample of labelled rows, by mini-batches in on
 
 Null and empty texts have no terms and get the score of the bias alone.  Rows with a null label are
 not learned from.  With no labelled rows, or one label only, all scores are the share of label 1
-(0 without rows).  Copies of a labelled text count as often as they occur.
+(about 0 without rows).  Copies of a labelled text are learned from once, with their mean label.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 from .frames import column, fresh, hash_order, require
 from .texts import U64, Chunk, RollingHash, _BYTE_CODE, chunks, mix, runs
 
-COLUMNS = 1 << 18
+COLUMNS = 1 << 20
 FACTORS = 8
 # at most about this many labelled rows are learned from, chosen by hash
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-EPOCHS = 8
+MIN_TEXTS = 5
+MIN_Z = 5.0
+EPOCHS = 30
 BATCH = 256
-RATE = 0.05
-DECAY = 2e-4
+RATE = 0.1
+DECAY = 1e-3
 SEED = 11
 
 _LETTER = np.zeros(256, bool)
@@ -59,72 +62,105 @@ def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class FactorizationMachine:
+    """Weights and factors of the ``used`` columns; row 0 of both is that of all other columns."""
+
     bias: float
+    used: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        rows = np.zeros(COLUMNS, np.int32)
+        rows[self.used] = np.arange(1, len(self.used) + 1)
+        return rows
+
     def scores(self, term: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each text."""
-        counts = np.diff(bounds)
-        filled = np.flatnonzero(counts)
-        logits = np.full(len(counts), self.bias)
-        if len(filled):
-            at = bounds[filled]
-            own = self.factors[term]
-            sums = np.add.reduceat(own, at, axis=0)
-            squares = np.add.reduceat(np.square(own, out=own), at, axis=0)
-            logits[filled] += np.add.reduceat(self.weights[term], at)
-            logits[filled] += 0.5 * (np.square(sums) - squares).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        row, bounds = known_cells(self.rows[term], bounds)
+        return _sigmoid(self.bias + _sums(self.weights, self.factors, row, bounds)[0])
+
+
+def known_cells(row: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells whose term has a row of its own."""
+    kept = row > 0
+    return row[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _sums(weights: np.ndarray, factors: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the value of all terms and pairs of terms, and the sum of the factor vectors."""
+    filled = np.flatnonzero(np.diff(bounds))
+    values = np.zeros(len(bounds) - 1)
+    sums = np.zeros((len(bounds) - 1, FACTORS))
+    if len(filled):
+        at, own = bounds[filled], factors[row]
+        sums[filled] = np.add.reduceat(own, at, axis=0)
+        squares = np.add.reduceat(np.square(own), at, axis=0)
+        values[filled] = np.add.reduceat(weights[row], at) + 0.5 * (np.square(sums[filled]) - squares).sum(axis=1)
+    return values, sums
+
+
+def _distinct(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Copies of one set of terms as one text with the mean of their labels."""
+    sums = np.concatenate([[U64(0)], np.cumsum(mix(term.astype(U64) + U64(1)))])
+    _, first, place = np.unique(sums[bounds[1:]] - sums[bounds[:-1]], return_index=True, return_inverse=True)
+    counts = bounds[first + 1] - bounds[first]
+    means = np.bincount(place, labels) / np.bincount(place)
+    return term[runs(bounds[first], counts)], np.concatenate([[0], np.cumsum(counts)]), means
 
 
 def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
-    """Mini-batch AdaGrad; terms of fewer than three texts are left out."""
+    """Mini-batch AdaGrad with decay, on the terms of at least ``MIN_TEXTS`` different texts whose
+    share of label 1 is more than ``MIN_Z`` standard errors off the mean: a rare word may otherwise
+    learn the labels of its texts by heart."""
+    if len(labels):
+        term, bounds, labels = _distinct(term, bounds, labels)
+    share = float(labels.mean()) if len(labels) else 0.0
+    machine = FactorizationMachine(
+        float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0, np.int64), np.zeros(1), np.zeros((1, FACTORS))
+    )
+    if share <= 0 or share >= 1:
+        return machine
+    texts = np.bincount(term, minlength=COLUMNS)
+    marked = np.bincount(term, np.repeat(labels, np.diff(bounds)), COLUMNS)
+    z = (marked - texts * share) / np.sqrt(np.maximum(texts, 1) * share * (1 - share))
+    machine.used = np.flatnonzero((texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
+    row, bounds = known_cells(machine.rows[term], bounds)
     random = np.random.Generator(np.random.PCG64(SEED))
-    share = labels.mean() if len(labels) else 0.0
-    weights = np.zeros(COLUMNS, np.float32)
-    factors = np.zeros((COLUMNS, FACTORS), np.float32)
-    if share in (0.0, 1.0):
-        return FactorizationMachine(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), weights, factors)
-    known = np.bincount(term, minlength=COLUMNS) >= 3
-    kept = np.concatenate([[0], np.cumsum(known[term])])[bounds]
-    term, bounds = term[known[term]], kept
-    factors[known] = random.normal(0, 0.02, (int(known.sum()), FACTORS))
-    bias = float(np.log(share / (1 - share)))
-    past_weights, past_factors, past_bias = np.full(COLUMNS, 1e-6, np.float32), np.full((COLUMNS, FACTORS), 1e-6, np.float32), 1e-6
+    weights = np.zeros(len(machine.used) + 1)
+    factors = random.normal(0, 0.02, (len(weights), FACTORS))
+    bias, past_bias = machine.bias, 1e-4
+    past_weights, past_factors = np.full(len(weights), 1e-4), np.full(factors.shape, 1e-2)
     for _ in range(EPOCHS):
         order = random.permutation(len(labels))
         for begin in range(0, len(order), BATCH):
-            rows = order[begin : begin + BATCH]
-            counts = bounds[rows + 1] - bounds[rows]
-            cells = term[runs(bounds[rows], counts)]
-            owner = np.repeat(np.arange(len(rows)), counts)
-            used, place = np.unique(cells, return_inverse=True)
-            own = factors[used][place]
-            sums = np.zeros((len(rows), FACTORS), np.float32)
-            filled = np.flatnonzero(counts)
-            at = (np.cumsum(counts) - counts)[filled]
-            logits = np.full(len(rows), bias)
-            if len(cells):
-                sums[filled] = np.add.reduceat(own, at, axis=0)
-                squares = np.add.reduceat(np.square(own), at, axis=0)
-                logits[filled] += np.add.reduceat(weights[cells], at) + 0.5 * (np.square(sums[filled]) - squares).sum(axis=1)
-            slope = ((1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels[rows]) / len(rows)).astype(np.float32)
-            past_bias += float(slope.sum()) ** 2
-            bias -= RATE * float(slope.sum()) / np.sqrt(past_bias)
+            batch = order[begin : begin + BATCH]
+            counts = bounds[batch + 1] - bounds[batch]
+            cells = row[runs(bounds[batch], counts)]
+            owner = np.repeat(np.arange(len(batch)), counts)
+            values, sums = _sums(weights, factors, cells, np.concatenate([[0], np.cumsum(counts)]))
+            slope = (_sigmoid(bias + values) - labels[batch]) / len(batch)
+            past_bias += slope.sum() ** 2
+            bias -= RATE * slope.sum() / np.sqrt(past_bias)
             if not len(cells):
                 continue
-            by_term = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by_term], np.arange(len(used)))
-            each = slope[owner]
-            step = np.add.reduceat(each[by_term], cuts) + DECAY * weights[used] / len(rows)
+            used, place = np.unique(cells, return_inverse=True)
+            step = np.bincount(place, slope[owner]) + DECAY * weights[used]
             past_weights[used] += np.square(step)
             weights[used] -= RATE * step / np.sqrt(past_weights[used])
-            pair = each[:, None] * (sums[owner] - own)
-            step = np.add.reduceat(pair[by_term], cuts, axis=0) + DECAY * factors[used] / len(rows)
+            pair = slope[owner, None] * (sums[owner] - factors[cells])
+            by_term = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[by_term], np.arange(len(used)))
+            step = np.add.reduceat(pair[by_term], cuts, axis=0) + DECAY * factors[used]
             past_factors[used] += np.square(step)
             factors[used] -= RATE * step / np.sqrt(past_factors[used])
-    return FactorizationMachine(bias, weights, factors)
+    factors[0] = 0
+    machine.bias, machine.weights, machine.factors = bias, weights, factors
+    return machine
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +182,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     term = lists.flatten().to_numpy().astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     model = train_machine(term, bounds, table["label"].to_numpy())
-    used = np.flatnonzero((model.weights != 0) | model.factors.any(axis=1))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([model.bias]),
-            pa.array([used.astype(np.int32).tobytes()], pa.binary()),
-            pa.array([model.weights[used].tobytes()], pa.binary()),
-            pa.array([model.factors[used].tobytes()], pa.binary()),
+            pa.array([model.used.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([model.weights.tobytes()], pa.binary()),
+            pa.array([model.factors.tobytes()], pa.binary()),
         ],
         ["bias", "used", "weights", "factors"],
     )
@@ -176,17 +211,17 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         .mapInArrow(_train, "bias double, used binary, weights binary, factors binary")
         .collect()[0]  # one row: the model
     )
-    machine = FactorizationMachine(0.0, np.zeros(COLUMNS, np.float32), np.zeros((COLUMNS, FACTORS), np.float32))
-    used = np.frombuffer(fitted["used"], np.int32)
-    machine.bias = fitted["bias"]
-    machine.weights[used] = np.frombuffer(fitted["weights"], np.float32)
-    machine.factors[used] = np.frombuffer(fitted["factors"], np.float32).reshape(-1, FACTORS)
-    return machine
+    return FactorizationMachine(
+        fitted["bias"],
+        np.frombuffer(fitted["used"], np.int64),
+        np.frombuffer(fitted["weights"]),
+        np.frombuffer(fitted["factors"]).reshape(-1, FACTORS),
+    )
 
 
 def with_score(df: DataFrame, machine: FactorizationMachine, text: Column, name: str) -> DataFrame:
     """Adds the double ``name``."""
-    shared = df.sparkSession.sparkContext.broadcast(machine)  # COLUMNS * (FACTORS + 1) numbers
+    shared = df.sparkSession.sparkContext.broadcast(machine)  # at most COLUMNS * (FACTORS + 2) numbers
 
     def score(texts: pa.Array) -> pa.Array:
         parts = [shared.value.scores(*terms(chunk)) for chunk in chunks(texts, 1 << 20)]
