@@ -35,8 +35,10 @@ def source_targets(
 
     Sources are ordered by code point, null last, and weigh ``weights`` in turn.  With caps
     ``max_repeats * size`` the targets are min(cap, level * weight) for the one level at which they
-    add up to all tokens; sources reach their cap in the order of cap / weight, so the level is
-    found from running sums in that order.  Windows run over one row per source.
+    add up to all tokens.  Sources reach their cap in the order of cap / weight.  With the first j
+    of them capped, the others share what is left at some level; this level grows with j while the
+    next source is still above its cap, and falls after that, so the largest one is the level.
+    Windows run over one row per source.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     ranked = (
@@ -55,7 +57,7 @@ def source_targets(
         .withColumn("_tokens", F.sum("source_size").over(whole))
         .withColumn("_weights", F.sum("_weight").over(whole))
         .withColumn("_level", level)
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_weight"), F.col("_level"))).over(whole))
+        .withColumn("_level", F.max("_level").over(whole))
     )
     return levels.select(
         "source", "source_size", F.least("_cap", F.col("_level") * F.col("_weight")).alias("target")

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from .frames import held_out
 from .languages import identify_languages
+from .lm_scoring import cross_entropy_difference
 from .minhash import near_duplicates
 from .mixing import mix_rates
 from .packing import pack
 from .quality_rules import judge_documents
+from .suffix_dedup import remove_repeated_bytes
 from .toxicity import THRESHOLD, score_toxicity
 from .vector_join import link_vectors
+from .window_dedup import remove_repeated_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +104,29 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{f}").alias(f) for f in fields])
 
 
+WINDOW_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM words WHERE len(words) >= 20)),
+later AS (SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM words) w
+    ANTI JOIN covered USING (doc_id, p) GROUP BY w.doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op5_window_doubling", WINDOW_SQL)
+def window_doubling(spark: SparkSession, sf: str) -> DataFrame:
+    cut = remove_repeated_windows(table(spark, sf, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", digest)
+
+
 @query(
     "op6_source_mixing",
     f"""
@@ -116,7 +142,7 @@ levels AS (
     FROM capped WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
     SELECT source, source_size,
-        least(cap, weight * (SELECT min(level) FROM levels WHERE level <= cap / weight)) AS target FROM levels),
+        least(cap, weight * (SELECT max(level) FROM levels)) AS target FROM levels),
 rated AS (
     SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
         CAST('0x' || substr(md5(doc_id || ':17'), 1, 8) AS BIGINT) / 4294967296.0 :: DOUBLE AS draw
@@ -131,6 +157,18 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken)
 
 
+@query("op7_suffix_merge")
+def suffix_merge(spark: SparkSession, sf: str) -> DataFrame:
+    cut = remove_repeated_bytes(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [f"suffix.{c}" for c in ("n_bytes", "n_removed", "n_spans")]
+    return cut.select("doc_id", *counts, F.sha2("suffix.kept", 256).alias("kept_sha256"))
+
+
+@query("op8_cross_entropy_difference")
+def cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query(
     "op9_vector_near_duplicates",
     """
