@@ -21,7 +21,16 @@ def words(text: str | None) -> list[bytes]:
 
 def suffix_dedup(rows, length=100):
     """(doc_id, text) rows to {doc_id: (n_bytes, n_removed, n_spans, sha256)}."""
-    seen, out = set(), {}
+    out = {}
+    for key, data, covered, kept in suffix_cuts(rows, length):
+        spans = len(re.findall(b"\x01+", bytes(covered)))
+        out[key] = (len(data), sum(covered), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def suffix_cuts(rows, length=100):
+    """(doc_id, bytes, covered, kept bytes) of each (doc_id, text) row."""
+    seen = set()
     for key, text in sorted(rows):
         data = (text or "").encode()
         covered = bytearray(len(data))
@@ -30,10 +39,7 @@ def suffix_dedup(rows, length=100):
             if own in seen:
                 covered[at : at + length] = b"\1" * length
             seen.add(own)
-        spans = len(re.findall(b"\x01+", bytes(covered)))
-        kept = bytes(b for b, c in zip(data, covered) if not c)
-        out[key] = (len(data), sum(covered), spans, hashlib.sha256(kept).hexdigest())
-    return out
+        yield key, data, covered, bytes(b for b, c in zip(data, covered) if not c)
 
 
 def window_dedup(rows, length=20):
@@ -58,9 +64,9 @@ def shingle_set(text, size=3):
     return {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
 
 
-def near_duplicates(rows, percent=85):
+def near_duplicates(rows, percent=85, size=3):
     """(doc_id, text) rows to {doc_id: (n_shingles, component_id)}."""
-    sets = {k: shingle_set(t) for k, t in rows}
+    sets = {k: shingle_set(t, size) for k, t in rows}
     parent = {k: k for k in sets}
 
     def find(k):
