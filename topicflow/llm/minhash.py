@@ -5,10 +5,10 @@ values, its minimum and its maximum, so half the hash evaluations make as many v
 between two sets with a probability equal to their Jaccard similarity.  Bands of values place sets
 in buckets.
 
-Equal sets are one node from the start.  Each bucket's members are first compared with its smallest
-one on their full sets; whatever a bucket then still holds apart, in different components, is
-compared pair by pair, but for pairs that set sizes or the triangle inequality of the Jaccard
-distance to the smallest member rule out.  So no bucket of near copies is expanded into its pairs,
+Equal sets are one node from the start.  Each bucket's members are first compared with a few of
+them, its hubs, on their full sets; whatever a bucket then still holds apart, in different
+components, is compared pair by pair, but for pairs that set sizes or the triangle inequality of
+the Jaccard distances to the hubs rule out.  So no bucket of near copies is expanded into its pairs,
 and no candidate is dropped.  Components of links between equal or near sets get the smallest id.
 
 Documents without a word or a text have no shingles and link with nothing.  Rows that repeat an id
@@ -34,6 +34,7 @@ from .texts import U64, Chunk, RollingHash, chunks, mix
 SHINGLE = 3
 PERCENT = 85
 ROWS = 5
+HUBS = 3
 BANDS = 20  # a pair at the limit of 85 % shares no band with a probability of about 8e-6
 
 _CODES = np.random.Generator(np.random.PCG64(23)).integers(0, 2**64, (2, 512), dtype=U64, endpoint=False)
@@ -165,6 +166,37 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _hubs(placed: DataFrame) -> DataFrame:
+    """(bucket, hubs) of the buckets that hold several sets: ``HUBS`` members, some perhaps the same."""
+    order = [F.struct(F.xxhash64("set_id", "bucket", F.lit(i)).alias("h"), "set_id") for i in range(HUBS)]
+    found = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.array(*[F.min(o) for o in order]).alias("hubs"))
+    return found.where("_n > 1").select("bucket", F.col("hubs.set_id").alias("hubs"))
+
+
+def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members (bucket, set_id, n, root, gaps) of one bucket whose roots differ and that may
+    still be near.  A pair is taken from the smallest bucket it shares.
+
+    The distance of two sets is at least the difference of their distances to any third one; in
+    each bucket that both share, both know theirs to its hubs.
+    """
+    names = {"set_id": "a", "n": "na", "root": "ra", "gaps": "ga"}
+    x = members.withColumnsRenamed(names)
+    y = members.withColumnsRenamed({k: v.replace("a", "b") for k, v in names.items()})
+    limit = (100 - percent) / 100 + 1e-9
+    shared = F.array_intersect(F.map_keys("ga"), F.map_keys("gb"))
+    far = F.exists(
+        shared, lambda k: F.exists(F.zip_with(F.col("ga")[k], F.col("gb")[k], lambda u, v: F.abs(u - v) > limit), lambda t: t)
+    )
+    return (
+        x.join(y, "bucket")
+        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .where((F.array_min(shared) == F.col("bucket")) & ~far)
+        .select("a", "b")
+    )
+
+
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, text) to (id, n_shingles, component)."""
     sketches = materialize(sketch(docs, size, rows, bands), name="sketches")
@@ -173,37 +205,33 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     nodes = materialize(nodes, name="sets")
     placed = nodes.select("set_id", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("set_id").alias("hub")).where("_n > 1")
-    members = materialize(placed.join(shared.drop("_n"), "bucket"), name="members")
-    pairs = members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    members = materialize(placed.join(_hubs(placed), "bucket"), name="members")
+    to_hubs = members.select("bucket", "set_id", F.posexplode("hubs").alias("j", "hub"))
+    a, b = F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")
+    pairs = to_hubs.where("set_id != hub").select(a, b).distinct()
     involved = members.select("set_id").distinct().join(nodes.select("set_id", F.col("least").alias("id")), "set_id")
     sets = materialize(full_sets(docs, involved, size), name="shingles")
     first = materialize(compared(pairs, sets), name="compared")
     # 100 * common >= percent * (size_a + size_b - common)
     linked = (100 + percent) * F.col("common") >= percent * (F.col("size_a") + F.col("size_b"))
     links = first.where(linked).select("a", "b")
-    roots = components(links)
+    roots = components(links).withColumnRenamed("node", "set_id")
 
+    rooted = members.select("bucket", "set_id", "n").join(roots, "set_id", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "set_id")), name="rooted")
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
+    apart = apart.select("bucket")
     distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    to_hub = first.select(F.col("a").alias("hub"), F.col("b").alias("set_id"), distance.alias("distance"))
-    open_members = (
-        members.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-        .withColumn("root", F.coalesce("root", "set_id"))
-        .join(to_hub, ["hub", "set_id"], "left")
-        .where("set_id != hub")
-    )
-    apart = open_members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
-    open_members = materialize(open_members.join(apart.select("bucket"), "bucket"), name="apart")
-    x = open_members.select("bucket", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("distance").alias("da"))
-    y = open_members.select("bucket", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("distance").alias("db"))
-    rest = (
-        x.join(y, "bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-        .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        .where(F.abs(F.col("da") - F.col("db")) <= (100 - percent) / 100 + 1e-9)
-        .select("a", "b")
-        .distinct()
+    gaps = (
+        to_hubs.join(apart, "bucket", "left_semi")
+        .withColumns({"a": a, "b": b})
+        .join(first.select("a", "b", distance.alias("gap")), ["a", "b"], "left")
+        .withColumn("gap", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("gap")))
     )
+    # at most bands * HUBS numbers per set
+    gaps = gaps.groupBy("set_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("j", "gap"))).alias("gaps"))
+    gaps = gaps.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "gaps.gap"))).alias("gaps"))
+    rest = _cross_pairs(rooted.join(apart, "bucket").join(gaps, "set_id"), percent)
     second = compared(rest, sets).where(linked).select("a", "b")
     links = materialize(links.union(second), name="links")
     roots = components(links)
