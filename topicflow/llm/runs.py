@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import column
-from .texts import U64, Chunk, RollingHash, chunks, runs
+from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, runs
 
 KEYS_PER_PART = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -213,7 +213,13 @@ def _matched(entries: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def repeated_anchors(
-    texts: DataFrame, codes: Callable[[Chunk], tuple[RollingHash, np.ndarray]], base: int, longer: int, target: int, parts: int
+    texts: DataFrame,
+    codes: Callable[[Chunk], tuple[RollingHash, np.ndarray]],
+    base: int,
+    longer: int,
+    target: int,
+    parts: int,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """(id, hash, places) of the anchors that may lie in a repeated window of ``target`` codes.
 
@@ -229,7 +235,7 @@ def repeated_anchors(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), chunk_bytes):
                 hashes, bounds = codes(chunk)
                 ids = all_ids[chunk.first : chunk.first + chunk.texts]
                 marks = all_hashes[chunk.first : chunk.first + chunk.texts]

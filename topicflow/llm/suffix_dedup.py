@@ -46,7 +46,8 @@ from .texts import U64, Chunk, RollingHash, chunks, mix, runs
 from .window_dedup import flat_lists
 
 LENGTH = 100
-SUFFIXES_PER_PART = 100_000
+SUFFIXES_PER_PART = 50_000
+CHUNK_BYTES = 1 << 20
 SPAN_SCHEMA = "id long, hash long, starts array<int>, ends array<int>"
 SUFFIX_SCHEMA = "part integer, n integer, ids binary, hashes binary, text binary, place binary, strings binary"
 
@@ -189,7 +190,7 @@ def _sorted_runs(length: int, parts: int):
             all_ids, all_hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             places, counts = flat_lists(batch.column(3))
             before = np.concatenate([[0], np.cumsum(counts)])
-            for chunk in chunks(batch.column(2), 1 << 20):
+            for chunk in chunks(batch.column(2), CHUNK_BYTES):
                 mine = slice(chunk.first, chunk.first + chunk.texts)
                 ids, marks = all_ids[mine], all_hashes[mine]
                 text = np.repeat(np.arange(chunk.texts), counts[mine])
@@ -236,16 +237,15 @@ def _removed(prefixes: np.ndarray, rights: np.ndarray, lefts: np.ndarray, left_s
     starts earlier; -1 where there is none.  ``rank`` is the order of id and place."""
     n, left = lefts.shape
     least, most = np.full(n, -1), np.full(n, -1)
-    # hashes of the last d bytes on the left, for all d at once
-    code = mix(lefts[:, ::-1].astype(U64) + U64(1) + (np.arange(left, dtype=U64) << U64(16)))
-    tails = np.zeros((n, left + 1), U64)
-    np.cumsum(code, axis=1, out=tails[:, 1:])
+    tail = np.zeros(n, U64)  # hash of the last d bytes on the left
     for d in range(left + 1):
+        if d:
+            tail = tail + mix(lefts[:, left - d].astype(U64) + U64(1) + (U64(d) << U64(16)))
         valid = np.flatnonzero((left_sizes >= d) & (rights >= length - d))
         if len(valid) < 2:
             continue
         interval = np.cumsum(prefixes < length - d)
-        key = mix(interval[valid].astype(U64)) ^ mix(tails[valid, d])
+        key = mix(interval[valid].astype(U64)) ^ mix(tail[valid])
         order = np.lexsort((rank[valid], key))
         sorted_key = key[order]
         new = np.ones(len(order), bool)
@@ -331,7 +331,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     longer = (base + length + 1) // 2
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(2 * total // max(1, length - base))
-    found = materialize(repeated_anchors(texts, _byte_codes, base, longer, length, parts), name="anchors")
+    found = materialize(repeated_anchors(texts, _byte_codes, base, longer, length, parts, CHUNK_BYTES), name="anchors")
     kept = found.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = parts_for(kept, SUFFIXES_PER_PART)
     candidates = texts.join(found, TEXT_KEYS).select(*TEXT_KEYS, "text", "places")
@@ -349,7 +349,7 @@ def cut_spans(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     low, counts = flat_lists(starts)
     high, _ = flat_lists(ends)
     before = np.concatenate([[0], np.cumsum(counts)])
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, CHUNK_BYTES):
         text = np.repeat(np.arange(chunk.texts), counts[chunk.first : chunk.first + chunk.texts])
         own = slice(before[chunk.first], before[chunk.first + chunk.texts])
         # one more place per text, so that spans of neighbours do not touch

@@ -43,7 +43,7 @@ class _Powers:
 
     def get(self, n: int, inverse: bool = False) -> np.ndarray:
         if len(self.tables[inverse]) < n:
-            steps = np.full(max(n, 2 * len(self.tables[inverse])), self.bases[inverse], U64)
+            steps = np.full(-(-n >> 20) << 20, self.bases[inverse], U64)
             steps[0] = 1
             self.tables[inverse] = np.multiply.accumulate(steps)
         return self.tables[inverse][:n]
