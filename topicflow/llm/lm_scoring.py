@@ -33,8 +33,9 @@ from .texts import U64, Chunk, chunks, mix
 
 PRIOR = 10.0
 HOT_SHARE = 10_000
-KEYS_PER_PART = 2_000_000
-HELD_SUMS = 500_000
+KEYS_PER_PART = 800_000
+HELD_WORDS = 500_000
+HELD_SUMS = 400_000
 START = U64(0x5354415254)
 
 
@@ -75,9 +76,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[:, at] = np.bincount(place, ~target, len(own))
                 counts[:, at + 1] = np.bincount(place, target, len(own))
                 held.append((own, counts))
-            if sum(len(w) for w, _ in held) > 1_500_000:
+            if sum(len(w) for w, _ in held) > 2 * HELD_WORDS:
                 held = [summed()]
-                if len(held[0][0]) > 1_000_000:
+                if len(held[0][0]) > HELD_WORDS:
                     yield rows()
                     held = []
     if held:
@@ -177,7 +178,7 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
 
-    placed = corpus.mapInArrow(send, RUN_SCHEMA).repartition(max(1, -(-parts // 4)), "part").sortWithinPartitions("part")
+    placed = corpus.mapInArrow(send, RUN_SCHEMA).repartition(max(1, -(-parts // 8)), "part").sortWithinPartitions("part")
     sums = placed.mapInArrow(receive, "id long, hash long, n_tokens long, target_loss double, background_loss double")
     return sums.groupBy(*TEXT_KEYS).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "target_loss", "background_loss")])
 
