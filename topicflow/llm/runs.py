@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .frames import column
 from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, runs
 
-KEYS_PER_PART = 1_000_000
+KEYS_PER_PART = 500_000
 LAST_ID = (1 << 63) - 1
 RUN_SCHEMA = (
     "part integer, n integer, ids binary, hashes binary, keys binary, after binary, before binary, text binary, place binary"

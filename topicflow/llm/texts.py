@@ -14,7 +14,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
