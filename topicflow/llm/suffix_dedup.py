@@ -33,6 +33,7 @@ from ..session import materialize
 from .frames import column, fresh, require
 from .runs import (
     LAST_ID,
+    PARTS_PER_TASK,
     TEXT_KEYS,
     by_part,
     keyed_texts,
@@ -46,8 +47,8 @@ from .texts import U64, Chunk, RollingHash, chunks, mix, runs
 from .window_dedup import flat_lists
 
 LENGTH = 100
-SUFFIXES_PER_PART = 50_000
-CHUNK_BYTES = 1 << 20
+SUFFIXES_PER_PART = 30_000
+CHUNK_BYTES = 1 << 19
 SPAN_SCHEMA = "id long, hash long, starts array<int>, ends array<int>"
 SUFFIX_SCHEMA = "part integer, n integer, ids binary, hashes binary, text binary, place binary, strings binary"
 
@@ -336,7 +337,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = parts_for(kept, SUFFIXES_PER_PART)
     candidates = texts.join(found, TEXT_KEYS).select(*TEXT_KEYS, "text", "places")
     placed = candidates.mapInArrow(_sorted_runs(length, parts), SUFFIX_SCHEMA)
-    placed = placed.repartition(2 * parts, "part").sortWithinPartitions("part")
+    placed = placed.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part")
     spans = placed.mapInArrow(_merged(length), SPAN_SCHEMA)
     return spans.groupBy(*TEXT_KEYS).agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")

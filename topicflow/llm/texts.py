@@ -152,10 +152,12 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts of an Arrow column, nulls as empty ones, in chunks of bounded size."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
     if not len(texts):
         return
-    raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    raw = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     begin = 0
@@ -164,6 +166,8 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
         end = min(max(end, begin + 1), len(texts))
         yield Chunk(begin, data[raw[begin] : raw[end]], raw[begin : end + 1] - raw[begin])
         begin = end
+    # what Arrow has freed goes back to the system: the executor's memory is shared by its workers
+    pa.default_memory_pool().release_unused()
 
 
 def concat_columns(parts: list[dict[str, np.ndarray]], fields: list[pa.Field]) -> pa.StructArray:
