@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .frames import column
 from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, runs
 
-KEYS_PER_PART = 500_000
+KEYS_PER_PART = 100_000
+PARTS_PER_TASK = 4
 LAST_ID = (1 << 63) - 1
 RUN_SCHEMA = (
     "part integer, n integer, ids binary, hashes binary, keys binary, after binary, before binary, text binary, place binary"
@@ -162,7 +163,7 @@ def exchanged(rows: DataFrame, parts: int, decide: Callable[[dict[str, np.ndarra
             if marked.any():
                 yield place_lists(entries["id"][marked], entries["hash"][marked], entries["place"][marked])
 
-    placed = rows.repartition(2 * parts, "part").sortWithinPartitions("part")
+    placed = rows.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part")
     return placed.mapInArrow(work, PLACES_SCHEMA)
 
 
