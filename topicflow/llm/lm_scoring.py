@@ -33,7 +33,7 @@ from .texts import U64, Chunk, chunks, mix
 
 PRIOR = 10.0
 HOT_SHARE = 10_000
-KEYS_PER_PART = 800_000
+KEYS_PER_PART = 500_000
 HELD_WORDS = 500_000
 HELD_SUMS = 400_000
 START = U64(0x5354415254)
@@ -178,7 +178,10 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
 
-    placed = corpus.mapInArrow(send, RUN_SCHEMA).repartition(max(1, -(-parts // 8)), "part").sortWithinPartitions("part")
+    # as many tasks as the cluster's cores can use, whatever the data: each reads its parts one by one
+    # and sends on one sum per text
+    tasks = min(parts, 4 * context.defaultParallelism)
+    placed = corpus.mapInArrow(send, RUN_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
     sums = placed.mapInArrow(receive, "id long, hash long, n_tokens long, target_loss double, background_loss double")
     return sums.groupBy(*TEXT_KEYS).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "target_loss", "background_loss")])
 
