@@ -34,7 +34,8 @@ from .texts import U64, Chunk, chunks, mix
 PRIOR = 10.0
 HOT_SHARE = 10_000
 KEYS_PER_PART = 500_000
-HELD_WORDS = 500_000
+HELD_WORDS = 250_000
+CHUNK_BYTES = 1 << 20
 HELD_SUMS = 400_000
 START = U64(0x5354415254)
 
@@ -67,7 +68,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         flags = batch.column(3).to_numpy(zero_copy_only=False)
-        for chunk in chunks(batch.column(2)):
+        for chunk in chunks(batch.column(2), CHUNK_BYTES):
             first, second, text = _bigrams(chunk)
             target = flags[chunk.first + text] if len(text) else np.zeros(0, bool)
             for words, at in ((second, 0), (first, 2)):
@@ -107,16 +108,17 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
         for batch in batches:
             all_ids, all_hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flags = batch.column(3).to_numpy(zero_copy_only=False)
-            for chunk in chunks(batch.column(2)):
+            for chunk in chunks(batch.column(2), CHUNK_BYTES):
                 first, second, text = _bigrams(chunk)
                 if not len(first):
                     continue
-                tail = (second >> U64(32)).astype(np.uint32)
                 at = np.searchsorted(heads, first)
                 is_hot = np.zeros(len(first), bool)
                 if len(heads):
                     is_hot = heads[np.minimum(at, len(heads) - 1)] == first
+                # the key of a hot word's bigram names both words; others tell second words by 24 bits
                 key = np.where(is_hot, mix(first ^ mix(second)), first)
+                tail = np.where(is_hot, U64(0), second >> U64(40)).astype(np.uint32)
                 place = np.where(is_hot, 2 * at + 2, 0) + flags[chunk.first + text]
                 order = np.lexsort((text, tail, key))
                 key, tail, text, place = key[order], tail[order], text[order], place[order]
