@@ -81,15 +81,14 @@ def brute_vectors(use_tfidf=True):
 
 
 @pytest.mark.parametrize("use_tfidf", [True, False])
-@pytest.mark.parametrize("broadcast_bytes", [terms.BROADCAST_BYTES, 250])
+@pytest.mark.parametrize("broadcast_bytes", [terms.BROADCAST_BYTES, 0])
 def test_doc_vectors_equal_brute_force(spark, monkeypatch, use_tfidf, broadcast_bytes):
-    """Whole or sliced vocabulary, any number of partitions; zero vector iff no known word."""
+    """Broadcast or joined vocabulary, any number of partitions; zero vector iff no known word."""
     monkeypatch.setattr(terms, "BROADCAST_BYTES", broadcast_bytes)
     df = spark.createDataFrame(TEXTS, "url string, content string").repartition(3)
     wv = spark.createDataFrame(list(VECTORS.items()), "word string, vector array<double>")
     vectorizer = terms.fit_vectorizer(df, word_vectors=wv)
     vectorizer.use_tfidf = use_tfidf
-    assert (vectorizer.slices > 1) == (broadcast_bytes == 250)
     rows = vectorizer.transform(df).select("url", as_array(F.col("features")).alias("v")).collect()
     found = {r.url: r.v for r in rows}
     expected = brute_vectors(use_tfidf)
@@ -98,16 +97,33 @@ def test_doc_vectors_equal_brute_force(spark, monkeypatch, use_tfidf, broadcast_
         assert np.allclose(found[url], v), url
 
 
-def test_tfidf_is_the_same_by_broadcast_and_by_salted_join(spark):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_tfidf_is_the_same_by_broadcast_and_by_shuffle(spark, threshold):
     df = spark.createDataFrame(TEXTS, "url string, content string")
     cleaned = terms.preprocess_texts(df)
     tf = terms.term_counts(cleaned)
     idf = terms.inverse_doc_freq(tf, cleaned)
-    found = [
-        {(r.url, r.token): round(r.w, 9) for r in terms.tfidf(tf, idf, broadcast_rows=n).collect()} for n in (0, 100)
-    ]
-    assert found[0] == found[1] and found[0]["d2", "blue"] > 0
-    assert not any(url == "d3" for url, _ in found[0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = {(r.url, r.token): round(r.w, 9) for r in terms.tfidf(tf, idf).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    norms = {}
+    for (url, _), w in found.items():
+        norms[url] = norms.get(url, 0) + w * w
+    assert found["d2", "blue"] > 0 and all(abs(n - 1) < 1e-6 for n in norms.values())
+    assert not any(url == "d3" for url, _ in found)
+
+
+def test_words_are_counted_where_their_document_is(spark, tmp_path):
+    rows = [(f"d{i}", " ".join(f"w{j % 7}" for j in range(i))) for i in range(60)]
+    spark.createDataFrame(rows, "url string, cleaned string").repartition(6).write.parquet(str(tmp_path / "texts"))
+    counts = terms.term_counts(spark.read.parquet(str(tmp_path / "texts")))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = {(r.url, r.token): r.tf for r in counts.collect()}
+    assert found == {(u, w): t.split().count(w) for u, t in rows for w in set(t.split())}
 
 
 @pytest.mark.parametrize("broadcast_bytes", [terms.BROADCAST_BYTES, 0])
@@ -145,6 +161,33 @@ def test_extractive_summary(spark):
     assert rows["d1"] == parts[best].capitalize() + "."
 
 
+def test_sentences_are_lemmatized_like_the_vocabulary(spark):
+    df = spark.createDataFrame([("d", "reds reds. fishes. blues reds. fishes fishes")], "url string, content string")
+    wv = spark.createDataFrame(list(VECTORS.items()), "word string, vector array<double>")
+    lemmas = spark.createDataFrame([("reds", "red"), ("fishes", "fish"), ("blues", "blue")], "form string, lemma string")
+    plain = spark.createDataFrame([("d", "red red. fish. blue red. fish fish")], "url string, content string")
+    ours = extractive_summary(df, terms.fit_vectorizer(df, word_vectors=wv, lemmas=lemmas)).first().summary
+    theirs = extractive_summary(plain, terms.fit_vectorizer(plain, word_vectors=wv)).first().summary
+    assert [lemma for w in ours.strip(".").lower().split() for lemma in [w.removesuffix("es") if w == "fishes" else w.removesuffix("s")]] == theirs.strip(".").lower().split()
+
+
+def test_pages_without_an_article(spark):
+    html = [
+        ("http://s.org/m", "<title>M</title><body><nav>menu</nav><main>It&#8217;s <b>main</b> &#x41;</main></body>"),
+        ("http://s.org/p", "<body><p>One</p><footer><p>foot</p></footer><pre>no</pre><p class='x'>two &amp;#65; &#0;</p></body>"),
+        ("http://s.org/n", "<body><div>none</div></body>"),
+    ]
+    pages = spark.createDataFrame(html, "url string, html string")
+    found = {r.url[-1]: r.content for r in extract_articles(pages, F.lit("2024-01-01")).collect()}
+    assert found == {"m": "It\u2019s main A", "p": "One two &#65; &#0;", "n": None}
+
+
+def test_only_links_to_pages_are_candidates(spark):
+    html = "<link rel='x' href='/style'><link href='/a.css'><a class='b' href='/read'>r</a><a href='/feed.xml'>f</a><a href='/pic.JPG?x=1'>p</a>"
+    pages = spark.createDataFrame([("http://s.org/p", html)], "url string, html string")
+    assert [r.url for r in discover_urls(pages).collect()] == ["http://s.org/read"]
+
+
 def test_language(spark):
     labelled = spark.createDataFrame(
         [("en", "the cat and the dog and the house of the king"), ("de", "der hund und die katze und das haus")], "lang string, content string"

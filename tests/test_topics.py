@@ -8,7 +8,9 @@ from topicflow.functions.vectors import as_array, as_vector
 from topicflow.operators import report as R
 from topicflow.operators import topics as T
 from topicflow.operators.summaries import lead_summarizer, model_summarizer, summarize_topics
+from topicflow.operators.groups import calinski_harabasz
 from topicflow.plans.ingest import ingest
+from topicflow.plans.topics import TopicModel, summarize_fresh, train_topics
 from topicflow.operators.lang import fit_language_profiles
 from topicflow.sources import store
 
@@ -54,11 +56,67 @@ def test_levels_not_reached_have_no_path(spark):
     assert found == {"0": 2, "0_1": 1}
 
 
-def test_model_slot_sees_the_declared_texts(spark):
+def test_model_slot_sees_all_texts(spark):
     rows = [(f"u{i:03}", f"s{i}", 0) for i in range(50)]
     df = spark.createDataFrame(rows, "url string, summary string, l0 int")
-    count = model_summarizer(lambda texts: texts.str.count(r"\.").astype(str), 3)
+    count = model_summarizer(lambda texts: texts.str.count(r"\.").astype(str))
     assert summarize_topics(df, ["l0"], count).first().summary == "9"
+    longest = model_summarizer(lambda texts: texts.str.split(". ", regex=False).map(lambda t: ". ".join(sorted(t))))
+    found = summarize_topics(df, ["l0"], longest, piece_rows=2).first().summary
+    assert sorted(found.split(". ")) == [f"s{i}" for i in sorted(range(50), key=str)]
+
+
+def test_articles_without_a_summary_take_no_place(spark):
+    rows = [(f"u{i:03}", None if i % 3 else f"s{i}", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "url string, summary string, l0 int")
+    full = df.where("summary IS NOT NULL")
+    assert summarize_topics(df, ["l0"], lead_summarizer()).collect() == summarize_topics(full, ["l0"], lead_summarizer()).collect()
+
+
+def test_pieces_of_large_batches(spark):
+    rows = [(f"u{i:04}", f"a{i}. b{i}", 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "url string, summary string, l0 int")
+    order = sorted(rows, key=lambda r: (hashlib.md5((r[0] + "45").encode()).hexdigest(), r[0]))
+    texts = []
+    for part in np.array_split(np.arange(500), 10):
+        level = [order[i][1] for i in part]
+        while True:
+            level = [lead(". ".join(level[j : j + 7])) for j in range(0, len(level), 7)]
+            if len(level) == 1:
+                break
+        texts += level
+    assert summarize_topics(df, ["l0"], lead_summarizer(), piece_rows=7).first().summary == lead(". ".join(texts))
+
+
+def test_far_points_keep_their_dispersion(spark):
+    random = np.random.RandomState(1)
+    near = [(i % 3, [float(x) for x in (i % 3) * 0.01 + 0.001 * random.randn(4)]) for i in range(60)]
+    score = {}
+    for shift in (0.0, 1e6):
+        rows = [(label, [x + shift for x in v]) for label, v in near]
+        df = spark.createDataFrame(rows, "label int, v array<double>").select("label", as_vector(F.col("v")).alias("features"))
+        score[shift] = calinski_harabasz(df).first().score
+    assert abs(score[1e6] / score[0.0] - 1) < 1e-3
+
+
+def test_repeated_urls_neither_multiply_nor_mix(spark, tmp_path):
+    texts = [f"{w} {w} talk of {w} and some more {w}" for w in ("apple", "river", "engine")]
+    rows = [(f"u{i // 2}", texts[i % 3] + f" {i}. rest", f"2024-01-0{1 + i % 5} 00:00:00") for i in range(24)]
+    rows += rows[:2]
+    articles = spark.createDataFrame(rows, "url string, content string, parse_datetime string").withColumn("title", F.col("url"))
+    words = ["apple", "river", "engine", "talk", "rest"]
+    vectors = spark.createDataFrame([(w, [float(i == j) for j in range(5)]) for i, w in enumerate(words)], "word string, vector array<double>")
+    model = train_topics(articles, "2024-01-01", word_vectors=vectors, k=3, latent=2, max_iter=5, max_depth=1)
+    fresh = summarize_fresh(articles, "2024-01-01", model)
+    assert fresh.labels.count() == fresh.summaries.count() == 24
+    assembled = R.assemble_articles(fresh.articles, fresh.summaries, fresh.labels, "row")
+    assert assembled.count() == 24
+    assert {r.url for r in assembled.collect()} == {f"u{i}" for i in range(12)}
+    by_url = R.assemble_articles(fresh.articles, fresh.summaries.join(fresh.articles, "row").drop("row"), fresh.labels.join(fresh.articles, "row").drop("row"))
+    assert by_url.count() == 12
+    model.save(spark, str(tmp_path / "model"))
+    again = summarize_fresh(articles, "2024-01-01", TopicModel.load(spark, str(tmp_path / "model")))
+    assert sorted(map(tuple, again.labels.collect())) == sorted(map(tuple, fresh.labels.collect()))
 
 
 def blobs(spark, n=40, centers=((5, 0, 0, 0), (0, 5, 0, 0), (0, 0, 5, 0))):

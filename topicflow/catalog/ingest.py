@@ -13,12 +13,13 @@ from ..operators.dedup import (
     fresh_since,
 )
 from ..operators.lang import SLOTS, SMOOTHING, detect_language, fit_language_profiles, select_language
-from ..plans.ingest import ingest
+from ..plans.ingest import ingest, ingest_sites
 from ..session import new_path, spread_scan
 from ..sources import store
+from ..sources.pages import site_of
 from ..streaming.ingest import ingest_stream
 from .base import ARTICLES, LANGUAGES, articles, pages, query, table
-from .tables import EXTRACTED
+from .tables import EXTRACTED, LINKS
 
 COUNTED = """counted AS (
     SELECT *, count(*) OVER (PARTITION BY sha256(coalesce(content, 'None'))) AS copies FROM articles)"""
@@ -182,6 +183,25 @@ def ingested(spark, sf):
     return _stored(spark, paths)
 
 
+@query(
+    "ingest_sites",
+    f"""{INGESTED.replace('WITH ', f'WITH {LINKS}, ', 1)}
+    UNION ALL SELECT site, NULL, all_urls || ' ' || 0 || ' ' || all_urls, 'site'
+    FROM (SELECT site, count(*) AS all_urls FROM candidates GROUP BY site)""",
+)
+def ingested_sites(spark, sf):
+    """From a source list to articles, rejected urls and fetch statistics per site."""
+    paths, sources = _store(spark), new_path(spark, "sources")
+    table(spark, sf, "pages").select(site_of(F.col("url")).alias("url")).distinct().write.csv(sources, header=True)
+    stats = ingest_sites(
+        store.read_sources(spark, sources), pages(spark, sf), *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00")
+    )
+    counted = F.concat_ws(" ", "all_urls", "ignored", "new_urls")
+    none = F.lit(None).cast("string")
+    sites = stats.select(F.col("site").alias("url"), none.alias("title"), counted.alias("content"), F.lit("site").alias("status"))
+    return _stored(spark, paths).unionByName(sites)
+
+
 @query("ingest_stream", INGESTED)
 def ingested_stream(spark, sf):
     paths = _store(spark)

@@ -95,12 +95,26 @@ def article_columns(spark, sf):
     )
 
 
-@query("to_artifact_json")
+CHUNKS_JSON = f"""hashed AS (
+    SELECT url, summary, l0, l1, md5(url || '45') AS h FROM summaries JOIN topic_labels USING (url)),
+sized AS (SELECT greatest(CAST(ceil(count(*) / 100) AS BIGINT), 1) AS chunks FROM hashed),
+placed AS (SELECT *, CAST((CAST('0x' || substr(h, 1, 8) AS BIGINT) * chunks) >> 32 AS INTEGER) AS chunk FROM hashed, sized),
+chunk_json AS (SELECT CAST(to_json({{'chunk': chunk, 'url': list(url ORDER BY h), 'summary': list(summary ORDER BY h),
+    'l0': list(l0 ORDER BY h), 'l1': list(l1 ORDER BY h)}}) AS VARCHAR) AS value FROM placed GROUP BY chunk)"""
+
+
+@query("to_artifact_json", f"WITH {SUMMARIES}, {TOPIC_LABELS}, {CHUNKS_JSON} SELECT value FROM chunk_json")
 def to_artifact_json(spark, sf):
     return R.to_artifact_json(R.article_columns(assembled(spark, sf), LEVELS, rows=100))
 
 
-@query("write_artifact")
+@query(
+    "write_artifact",
+    f"""WITH {SUMMARIES}, {TOPIC_LABELS}, {NAMES}, {CHUNKS_JSON},
+    keywords AS (SELECT 'news, ' || string_agg(replace(name, ' ', ', '), ', ' ORDER BY topic_path) AS keywords FROM names WHERE level = 0)
+    SELECT CAST(to_json({{'keywords': keywords}}) AS VARCHAR) AS value, 'header' AS part FROM keywords
+    UNION ALL SELECT value, 'articles' FROM chunk_json""",
+)
 def write_artifact(spark, sf):
     path = new_path(spark, "artifact")
     columns = R.article_columns(assembled(spark, sf), LEVELS, rows=100)

@@ -135,18 +135,28 @@ def _unescape_sql(x: str) -> str:
     return x
 
 
-def visible_sql(x: str) -> str:
+def _hidden_sql(x: str) -> str:
     x = rf"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in ("script", "style", "nav", "footer"):
         x = rf"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
-    x = _unescape_sql(rf"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')")
+    return x
+
+
+def visible_sql(x: str) -> str:
+    x = _unescape_sql(rf"regexp_replace({_hidden_sql(x)}, '(?s)<[^>]+>', ' ', 'g')")
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
+_PARAGRAPHS = rf"array_to_string(regexp_extract_all({_hidden_sql('html')}, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), ' ')"
 EXTRACTED = f"""extracted AS (
-    SELECT url, CASE WHEN body <> '' THEN title END AS title, CASE WHEN body <> '' THEN body END AS content FROM (
+    SELECT url, CASE WHEN body IS NOT NULL THEN title END AS title, body AS content FROM (
         SELECT url, {visible_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-            {visible_sql("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")} AS body FROM pages))"""
+            coalesce(nullif({visible_sql("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")}, ''),
+                nullif({visible_sql("regexp_extract(html, '(?is)<main[^>]*>(.*)</main>', 1)")}, ''),
+                nullif({visible_sql(_PARAGRAPHS)}, '')) AS body FROM pages))"""
+# the file endings of pages.NOT_PAGES
+IS_PAGE = r"""url IS NOT NULL AND NOT regexp_matches(url,
+    '(?i)\.(css|js|json|xml|rss|atom|png|jpe?g|gif|svg|ico|webp|pdf|zip|mp3|mp4)([?].*)?$')"""
 LINKS = rf"""links AS (
     SELECT DISTINCT lower(site) AS site, CASE
         WHEN regexp_matches(href, '^https?://') THEN href
@@ -154,8 +164,8 @@ LINKS = rf"""links AS (
         WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
         WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END AS url
     FROM (SELECT regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS site,
-        unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages)),
-candidates AS (SELECT site, url FROM links WHERE url IS NOT NULL
+        unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages)),
+candidates AS (SELECT site, url FROM links WHERE {IS_PAGE}
     UNION ALL SELECT {SITE} AS site, url FROM pages)"""
 
 
@@ -168,7 +178,7 @@ def extracted_articles(spark, sf):
     return extract_articles(pages(spark, sf), F.lit("2024-01-01 00:00:00"))
 
 
-@query("discover_urls", f"WITH {LINKS} SELECT site, url FROM links WHERE url IS NOT NULL")
+@query("discover_urls", f"WITH {LINKS} SELECT site, url FROM links WHERE {IS_PAGE}")
 def discovered_urls(spark, sf):
     return discover_urls(pages(spark, sf))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..session import materialize
-from .placement import hot_keys, skew_join
+from .placement import skew_join
 
 
 def fresh_since(df: DataFrame, since: str | Column) -> DataFrame:
@@ -26,24 +26,29 @@ def drop_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("content IS NOT NULL"), df.where("content IS NULL").select("url")
 
 
-def drop_all_duplicates(df: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
+def drop_all_duplicates(df: DataFrame, key: str = "url", scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows whose text occurs once, urls of all copies of repeated texts).
 
-    Hashes are counted with partial aggregation, and those that repeat are staged.  A hash
-    under which very many rows fall is known to repeat, so those rows are decided by a
-    broadcast of the few hot hashes and never meet on one task; the others are decided by a
-    join on the hash.
+    One aggregation by hash, combined before the shuffle, so copies never meet in one task:
+    the row of a hash that counts one is kept.  Rejected urls come from the hashes that count
+    more, staged as a narrow table, and from rows without the text; the join may split a hash
+    under which very many rows fall.
+
+    ``scope``, rows with a column ``content`` (such as the article store), widens the count
+    from this run to all texts: what repeats a text of the scope is rejected, too.
     """
-    hashed = df.withColumn("_h", content_hash(F.col("content")))
-    counts = hashed.groupBy("_h").agg(F.count("*").alias("rows"))
-    repeated = materialize(counts.where("rows > 1"), name="repeated")
-    hot = F.broadcast(hot_keys(hashed, "_h", counts=repeated))
-    kept = hashed.join(hot, "_h", "left_anti").join(repeated, "_h", "left_anti").drop("_h")
-    narrow = hashed.select(key, "_h")
-    rejected = narrow.join(hot, "_h", "left_semi").unionByName(
-        narrow.join(hot, "_h", "left_anti").join(repeated, "_h", "left_semi")
-    )
-    return kept, rejected.select(key)
+    hashed = df.select(content_hash(F.col("content")).alias("_h"), F.struct(*df.columns).alias("_row"))
+    counted = hashed.groupBy("_h").agg(F.count("*").alias("_n"), F.any_value("_row").alias("_row"))
+    narrow = df.select(key, content_hash(F.col("content")).alias("_h"))
+    repeated = narrow.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    once = counted.where("_n = 1")
+    if scope is not None:
+        stored = materialize(scope.select(content_hash(F.col("content")).alias("_h")).distinct(), name="stored")
+        repeated = repeated.unionByName(stored).distinct()
+        once = once.join(stored, "_h", "left_anti")
+    repeated = materialize(repeated, name="repeated")
+    rejected = narrow.join(repeated, "_h", "left_semi")
+    return once.select("_row.*"), rejected.select(key)
 
 
 def distinct_texts(df: DataFrame, ordered: bool = True) -> DataFrame:
@@ -57,8 +62,22 @@ def distinct_of_columns(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def new_urls(candidates: DataFrame, ignore: DataFrame) -> DataFrame:
-    """Candidates whose url is not known; repeats of a known url are left out together."""
-    return skew_join(candidates, ignore.select("url").distinct(), "url", candidates.columns, "left_anti")
+    """Candidates whose url is not known; repeats of a known url are left out together.
+
+    Spark broadcasts the known urls when they are few, and may split a url that very many
+    candidates share when not.
+    """
+    return candidates.join(ignore.select("url").distinct(), "url", "left_anti").select(candidates.columns)
+
+
+def with_row_key(df: DataFrame, name: str = "row") -> DataFrame:
+    """Adds a key made of url, text and parse time; rows that agree in all three are one row.
+
+    The store does not enforce unique urls, so a url is no key of its rows.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("\u0000")) for c in ("url", "content", "parse_datetime")]
+    keyed = df.withColumn(name, F.sha2(F.concat_ws("\u0001", *parts), 256))
+    return keyed.dropDuplicates([name])
 
 
 def fetch_stats(candidates: DataFrame, ignore: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .placement import LOOKUP_ROWS, require_bounded, top_n_per_group
+from .placement import top_n_per_group
+
+CENTROID_ROWS = 10_000
 
 
 def pairwise_distances(centroids: DataFrame, metric: str = "cosine", label: str = "label") -> DataFrame:
@@ -57,10 +60,16 @@ def nearest_big_cluster(
 def top_words(centroids: DataFrame, word_vectors: DataFrame, k: int = 5, label: str = "label") -> DataFrame:
     """(label, rn, word, similarity): the k words with the highest cosine to each centroid.
 
-    The centroids (a checked number of rows) travel to the tasks; every batch of words gives
-    its k best per centroid, so what is shuffled does not grow with the product of the two.
+    The centroids travel to the tasks, at most ``CENTROID_ROWS`` of them at a time; every batch
+    of words gives its k best per centroid, so what is shuffled does not grow with the product
+    of the two.
     """
-    table = require_bounded(centroids.select(label, "centroid"), LOOKUP_ROWS).toArrow()
+    slices = -(-centroids.count() // CENTROID_ROWS)
+    if slices > 1:
+        part = F.pmod(F.xxhash64(label), F.lit(2 * slices))
+        parts = [top_words(centroids.where(part == i), word_vectors, k, label) for i in range(2 * slices)]
+        return reduce(DataFrame.unionByName, parts)
+    table = centroids.select(label, "centroid").toArrow()
     labels = table.column(label).to_pylist()
     matrix = np.array(table.column("centroid").to_pylist(), dtype=float).reshape(len(labels), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_array, mean_vector, squared_norm
+from ..functions.vectors import as_array, as_vector, mean_vector
 from .placement import lookup_join
 
 
@@ -73,22 +74,27 @@ def largest_gap_threshold(bins: DataFrame) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
-    """One row (clusters, score): between to within dispersion, from sums per label."""
-    rows = df.select(label, features, squared_norm(as_array(F.col(features))).alias("sq"))
-    groups = rows.groupBy(label).agg(
-        mean_vector(features).alias("m"), F.count("*").alias("n"), F.sum("sq").alias("sq")
+    """One row (clusters, score): between to within dispersion, from centred sums per label.
+
+    Variances per label are accumulated around the running mean, and the distances of the
+    centroids from their mean are taken as differences, so points far from the origin keep
+    their digits.
+    """
+    groups = df.groupBy(label).agg(
+        Summarizer.metrics("mean", "variance").summary(F.col(features)).alias("s"), F.count("*").alias("n")
+    )
+    spread = F.aggregate(as_array(F.col("s.variance")), F.lit(0.0), lambda a, x: a + x)
+    groups = groups.select(
+        as_array(F.col("s.mean")).alias("m"), "n", F.when(F.col("n") > 1, spread * (F.col("n") - 1)).otherwise(0.0).alias("within")
     )
-    overall = groups.agg(
-        mean_vector(F.col("m"), F.col("n").cast("double")).alias("m"),
-        F.count("*").alias("k"),
-        F.sum("n").alias("n"),
-        F.sum("sq").alias("sq"),
-        F.sum(F.col("n") * squared_norm(as_array(F.col("m")))).alias("groups_sq"),
+    means = groups.agg(mean_vector(as_vector(F.col("m")), F.col("n").cast("double")).alias("m"))
+    groups = groups.withColumn("center", means.select(as_array(F.col("m"))).scalar())
+    offset = F.aggregate(F.zip_with("m", "center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    total = groups.agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum(F.col("n") * offset).alias("between")
     )
-    between = F.col("groups_sq") - F.col("n") * squared_norm(as_array(F.col("m")))
-    within = F.col("sq") - F.col("groups_sq")
-    score = F.try_divide(between * (F.col("n") - F.col("k")), within * (F.col("k") - 1))
-    return overall.select(F.col("k").alias("clusters"), score.alias("score"))
+    score = F.try_divide(F.col("between") * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
+    return total.select(F.col("k").alias("clusters"), score.alias("score"))
 
 
 def topic_path(levels: Sequence[str], level: int) -> Column:

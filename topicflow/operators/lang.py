@@ -1,9 +1,10 @@
 """Language detection from letter trigrams, trained on labelled texts.
 
 Trigrams fall into a fixed number of slots, so a profile has ``SLOTS`` rows whatever the
-corpus.  Lower-casing and letter selection are built-in expressions; counting and scoring
-the trigrams of a batch of texts are array operations inside the tasks, so that no trigram
-becomes a row.  Scoring shuffles nothing.
+corpus, and is written once as a stage table that later runs read.  Lower-casing and letter
+selection are built-in expressions; the trigrams of a batch of texts are counted and scored by
+array operations on all texts of the batch at once, so that no trigram becomes a row.  Scoring
+shuffles nothing.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .placement import require_bounded
+from ..session import materialize
 
 SLOTS = 1 << 14
 SMOOTHING = 0.5
@@ -29,10 +30,28 @@ def letters(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def trigram_slots(text: str) -> np.ndarray:
-    """Slot of every run of three characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return ((codes[:-2] * 1021 + codes[1:-1]) * 1021 + codes[2:]) & (SLOTS - 1)
+BATCH_CHARACTERS = 1 << 20
+
+
+def trigram_slots(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, slots, bounds) for consecutive texts: the slots of every run of three characters
+    in one text, and where each text's slots begin.  Nulls have none."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        before = ends[first] - lengths[first]
+        stop = max(int(np.searchsorted(ends, before + BATCH_CHARACTERS, "right")), first + 1)
+        joined = "".join(pc.fill_null(texts.slice(first, stop - first), "").to_pylist())
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        slots = ((codes[:-2] * 1021 + codes[1:-1]) * 1021 + codes[2:]) & (SLOTS - 1) if len(codes) > 2 else codes[:0]
+        # runs that begin in the last two characters of a text reach into the next one
+        own = lengths[first:stop]
+        text = np.repeat(np.arange(stop - first), own)[: len(slots)]
+        inside = np.arange(len(slots)) + 2 < np.cumsum(own)[text]
+        bounds = np.concatenate([[0], np.cumsum(np.maximum(own - 2, 0))])
+        yield first, slots[inside], bounds
+        first = stop
 
 
 def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: str = "content") -> DataFrame:
@@ -42,14 +61,13 @@ def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one task sends at most SLOTS rows per language
         counts = np.zeros((len(index), SLOTS), dtype=np.int64)
+        names = pa.array(list(index), pa.string())
         for batch in batches:
-            slots: dict[str, list[np.ndarray]] = {name: [] for name in index}
-            for lang, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang in index and value is not None:
-                    slots[lang].append(trigram_slots(value))
-            for lang, found in slots.items():
-                if found:
-                    counts[index[lang]] += np.bincount(np.concatenate(found), minlength=SLOTS)
+            codes = pc.fill_null(pc.index_in(batch.column(0), names), -1).to_numpy(zero_copy_only=False)
+            for first, slots, bounds in trigram_slots(batch.column(1)):
+                lang = np.repeat(codes[first : first + len(bounds) - 1], np.diff(bounds))
+                known = lang >= 0
+                counts += np.bincount(lang[known] * SLOTS + slots[known], minlength=counts.size).reshape(counts.shape)
         lang, slot = np.nonzero(counts)
         yield pa.record_batch(
             [pa.array(lang, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[lang, slot])],
@@ -66,27 +84,32 @@ def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: s
         F.log((F.coalesce(F.col(f"n{i}"), F.lit(0)) + SMOOTHING) / (total[i] + SMOOTHING * SLOTS))
         for i in range(len(index))
     ]
-    return slots.join(counts, "slot", "left").select("slot", F.array(*logs).alias("log_p"))
+    profiles = slots.join(counts, "slot", "left").select("slot", F.array(*logs).alias("log_p"))
+    return materialize(profiles, name="profiles")
 
 
 def language_of(profiles: DataFrame, languages: Sequence[str]):
     """A column function: text → (language, score); null for a text without trigrams."""
-    table = require_bounded(profiles, SLOTS).toArrow().sort_by("slot")
+    table = profiles.toArrow().sort_by("slot")  # SLOTS rows by construction
     log_p = np.array(table.column("log_p").to_pylist()).T.copy()
-    names = np.array(languages, dtype=object)
-
-    @F.pandas_udf("language string, score double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        slots = (trigram_slots(t) for t in texts.fillna("  "))
-        sums = np.array([[of_lang.take(s).sum() for of_lang in log_p] for s in slots])
-        weights = np.exp(sums - sums.max(axis=1, keepdims=True))
-        known = (texts.str.len() > 2).to_numpy()
-        return pd.DataFrame(
-            {
-                "language": np.where(known, names[sums.argmax(axis=1)], None),
-                "score": np.where(known, 1.0 / weights.sum(axis=1), np.nan),
-            }
-        )
+    names = pa.array(languages, pa.string())
+
+    @F.arrow_udf("language string, score double")
+    def score(texts: pa.Array) -> pa.Array:
+        best, shares = [], []
+        for _, slots, bounds in trigram_slots(texts):
+            known = np.diff(bounds) > 0
+            sums = np.zeros((len(known), len(log_p)))
+            if known.any():
+                for i, of_lang in enumerate(log_p):
+                    sums[known, i] = np.add.reduceat(of_lang[slots], bounds[:-1][known])
+            weights = np.exp(sums - sums.max(axis=1, keepdims=True))
+            best.append(np.where(known, sums.argmax(axis=1), -1))
+            shares.append(np.where(known, 1.0 / weights.sum(axis=1), np.nan))
+        code = np.concatenate(best) if best else np.zeros(0, np.int64)
+        share = np.concatenate(shares) if shares else np.zeros(0)
+        found = pc.take(names, pa.array(code, mask=code < 0))
+        return pa.StructArray.from_arrays([found, pa.array(share, mask=code < 0)], ["language", "score"])
 
     # not to be repeated by filters that are pushed below
     once = score.asNondeterministic()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +12,8 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .distances import close_pairs, nearest_big_cluster, pairwise_distances
 from .groups import centroids, dense_codes, largest_gap_threshold, quantile_bins, relabel
-from .placement import require_bounded, settle
+from .placement import settle
 
-PAIR_ROWS = 1_000_000
 Labels = frozenset
 
 
@@ -54,15 +54,21 @@ def overlapping_groups(pairs: Iterable[tuple[int, int]]) -> list[Labels]:
 
 
 def _overlap_mapping(pairs: DataFrame) -> DataFrame:
-    """(label, target) for labels that change; the pairs of k labels are few, which is checked.
+    """(label, target) for labels that change.
 
-    Beyond that number the closure rule works without the driver.
+    Sets interact only if they share labels, directly or over others, so each connected group
+    of labels is decided on its own, in a task.
     """
-    small = require_bounded(pairs.select("a", "b"), PAIR_ROWS).collect()
-    moves = [(label, min(g)) for g in overlapping_groups((r.a, r.b) for r in small) for label in sorted(g)]
-    label_type = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("label", label_type), T.StructField("target", label_type)])
-    return pairs.sparkSession.createDataFrame(moves, schema)
+    label = pairs.schema["a"].dataType
+    schema = T.StructType([T.StructField("label", label), T.StructField("target", label)])
+    roots = _closure_mapping(pairs).withColumnRenamed("label", "a")
+
+    def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        groups = overlapping_groups(zip(frame["a"].tolist(), frame["b"].tolist()))
+        moves = [(member, min(g)) for g in groups for member in sorted(g)]
+        return pd.DataFrame(moves, columns=["label", "target"])
+
+    return pairs.select("a", "b").join(roots, "a").groupBy("target").applyInPandas(lambda f: decide(f), schema)
 
 
 def _closure_mapping(pairs: DataFrame) -> DataFrame:

@@ -83,13 +83,6 @@ def bounded(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def require_bounded(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    small = bounded(df, max_rows)
-    if small is None:
-        raise ValueError(f"expected at most {max_rows} rows")
-    return small
-
-
 def settle(df: DataFrame, max_rows: int = 10 * LOOKUP_ROWS) -> DataFrame:
     """Compute ``df`` once: a local table when it is small, a stage table otherwise."""
     small = bounded(df, max_rows)

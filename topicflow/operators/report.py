@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_sentences, format_time
+from ..functions.vectors import as_array, mean_vector
 from .distances import top_words
-from .groups import centroids, explode_paths, join_strings, topic_path
+from .groups import explode_paths, join_strings, topic_path
 from .placement import shuffle_hash
 from .sampling import sample_per_topic
 
@@ -21,10 +22,16 @@ CHUNK_ROWS = 1000
 def topic_names(
     vectors: DataFrame, labels: DataFrame, levels: Sequence[str], word_vectors: DataFrame, key: str = "url", k: int = 5
 ) -> DataFrame:
-    """(level, topic_path, name): the words closest to the mean vector of each path."""
-    paths = explode_paths(labels, levels, key).join(vectors.select(key, "features"), key)
-    centers = centroids(paths.withColumn("label", F.col("topic_path")), "label")
-    words = top_words(centers, word_vectors, k)
+    """(level, topic_path, name): the words closest to the mean vector of each path.
+
+    Vectors are averaged once, by the labels of all levels; a path's mean is the weighted mean
+    of the averages below it.
+    """
+    deepest = vectors.select(key, "features").join(labels.select(key, *levels), key).groupBy(*levels)
+    means = deepest.agg(mean_vector("features").alias("m"), F.count("*").alias("n"))
+    paths = explode_paths(means, levels, "m", "n")
+    weighed = paths.groupBy(F.col("topic_path").alias("label")).agg(mean_vector(F.col("m"), F.col("n").cast("double")).alias("m"))
+    words = top_words(weighed.select("label", as_array(F.col("m")).alias("centroid")), word_vectors, k)
     names = join_strings(words, ["label"], "rn", "word", " ")
     return names.select(
         (F.size(F.split("label", "_")) - 1).alias("level"),
@@ -73,9 +80,21 @@ def global_overview(topic_summaries: DataFrame, n: int = 3) -> DataFrame:
     return tops.agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("overview"))
 
 
+def _one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The smallest row of each key, on the partitioning that a join on the key needs anyway."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def assemble_articles(articles: DataFrame, summaries: DataFrame, labels: DataFrame, key: str = "url") -> DataFrame:
-    """(url, summary, l0, l1, ...) by document key."""
-    return articles.select(key).join(summaries, key).join(labels, key)
+    """(url, summary, l0, l1, ...): one row per key that all three tables have.
+
+    With the key of ``with_row_key``, repeated urls are rows of their own.  With the url as the
+    key, a url is one row whatever its repeats, with its smallest summary and labels.
+    """
+    own = articles.select(key, "url").distinct() if key != "url" else articles.select("url").distinct()
+    joined = own.join(_one_per_key(summaries, key), key).join(_one_per_key(labels, key), key)
+    return joined if key == "url" else joined.drop(key)
 
 
 def article_columns(

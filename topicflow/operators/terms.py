@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -23,9 +22,8 @@ from ..functions.vectors import as_array, as_vector, l2_normalize, mean_vector
 from ..session import materialize
 from .placement import hot_keys, lookup_join, skew_join
 
-BROADCAST_BYTES = 512 << 20
+BROADCAST_BYTES = 256 << 20
 DICTIONARY_ROWS = 500_000
-IDF_ROWS = 2_000_000
 TEXTS_PER_TRAINING_TASK = 1_000_000
 
 
@@ -66,14 +64,26 @@ def preprocess_texts(
     )
 
 
+def first_places(words: Column) -> Column:
+    """Where each distinct word of a sorted array begins."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.filter(places, lambda i: (i < F.size(words)) & ((i == 0) | (F.get(words, i) != F.get(words, i - 1))))
+
+
 def term_counts(cleaned: DataFrame, key: str = "url", min_length: int = 1) -> DataFrame:
     """(key, token, tf).
 
-    The words are placed by document before they are counted, so that later work per
-    document (norms, vectors) needs no further shuffle.
+    A document is one row, so its words are counted inside the row, by sorting them: nothing
+    is shuffled, and what later operators move are distinct words, not occurrences.
     """
-    words = cleaned.select(key, F.explode(tokenize(F.col("cleaned"), min_length)).alias("token"))
-    return words.repartition(key).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    words = cleaned.select(key, F.array_sort(tokenize(F.col("cleaned"), min_length)).alias("_words"))
+    placed = words.select(key, "_words", first_places(F.col("_words")).alias("_starts"))
+    # a word's count is the distance to the next word's first place
+    stop = lambda i: F.coalesce(F.get("_starts", i + 1), F.size("_words"))
+    pairs = F.transform(
+        "_starts", lambda at, i: F.struct(F.get("_words", at).alias("token"), (stop(i) - at).cast("long").alias("tf"))
+    )
+    return placed.select(key, F.inline(pairs))
 
 
 def term_doc_freq(tf: DataFrame) -> DataFrame:
@@ -91,20 +101,13 @@ def inverse_doc_freq(tf: DataFrame, documents: DataFrame) -> DataFrame:
     return term_doc_freq(tf.where(in_vocabulary())).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url", broadcast_rows: int = IDF_ROWS) -> DataFrame:
+def tfidf(tf: DataFrame, idf: DataFrame, key: str = "url") -> DataFrame:
     """(key, token, tf, w): tf * idf, scaled to unit length per document.
 
-    ``idf`` is read several times and best given as a stage table.  It is broadcast when its
-    counted size allows, and then nothing but the words was shuffled.  Beyond that, frequent
-    words are hot keys of a salted join; their document counts are known from ``idf``.
+    Spark broadcasts ``idf`` when it is small; beyond that, it may split the rows of a word that
+    very many documents share.  A document's words meet once, for its norm.
     """
-    weights = idf.select("token", "idf")
-    if idf.count() <= broadcast_rows:
-        weighted = tf.join(F.broadcast(weights), "token")
-    else:
-        hot = hot_keys(tf, "token", counts=idf.select("token", F.col("df").alias("rows")))
-        weighted = skew_join(tf, weights, "token", [key], hot=hot)
-    weighted = weighted.withColumn("raw", F.col("tf") * F.col("idf"))
+    weighted = tf.join(idf.select("token", "idf"), "token").withColumn("raw", F.col("tf") * F.col("idf"))
     # one document's distinct words: bounded by the length of a text
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "token", "tf", (F.col("raw") / norm).alias("w"))
@@ -153,7 +156,7 @@ def fit_word_vectors(
 
 @dataclass
 class TextVectorizer:
-    """A fitted vocabulary (token, idf, vector); ``idf`` is null outside the TF-IDF vocabulary."""
+    """A fitted vocabulary (token, vector, idf, df); the last two are null outside the TF-IDF vocabulary."""
 
     vocabulary: DataFrame
     size: int
@@ -162,17 +165,25 @@ class TextVectorizer:
     use_tfidf: bool = True
 
     def save(self, path: str) -> None:
-        self.vocabulary.write.mode("overwrite").parquet(path)
+        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark = self.vocabulary.sparkSession
+        options = [(self.size, self.words, self.use_tfidf, self.lemmas is not None)]
+        schema = "size int, words long, use_tfidf boolean, lemmas boolean"
+        spark.createDataFrame(options, schema).write.mode("overwrite").parquet(f"{path}/options")
+        if self.lemmas is not None:
+            self.lemmas.write.mode("overwrite").parquet(f"{path}/lemmas")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextVectorizer:
+        options = spark.read.parquet(f"{path}/options").first()
+        lemmas = spark.read.parquet(f"{path}/lemmas") if options.lemmas else None
+        vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        return cls(vocabulary, options["size"], options.words, lemmas, options.use_tfidf)
 
     @property
     def word_vectors(self) -> DataFrame:
         return self.vocabulary.where("vector IS NOT NULL").select(F.col("token").alias("word"), "vector")
 
-    @property
-    def slices(self) -> int:
-        """Parts of the vocabulary, each small enough to broadcast."""
-        return -(-self.words * row_bytes(self.size) // BROADCAST_BYTES) or 1
-
     def transform(self, df: DataFrame, key: str = "url", text: str = "content") -> DataFrame:
         return self.transform_cleaned(preprocess_texts(df, key, text, self.lemmas), key)
 
@@ -183,25 +194,11 @@ class TextVectorizer:
         aggregation gives the weighted vector sum, the norm and the number of occurrences.
         A document without a known word gets the zero vector.
 
-        The words of a document already share a task and the vocabulary is broadcast, whole
-        or slice by slice, so word vectors are never shuffled: only short sums per document are.
+        The vocabulary's bytes are known: up to ``BROADCAST_BYTES`` it is broadcast and no word
+        moves; beyond, words and vocabulary meet by word, those that very many documents share
+        spread by document, and each task sends on one sum per document.
         """
-        tf = term_counts(cleaned, key)
-        if self.slices == 1:
-            sums = self._sums(tf, self.vocabulary, key)
-        else:
-            tf = materialize(tf, name="terms")
-            slice_of = F.pmod(F.xxhash64("token"), F.lit(self.slices))
-            parts = [
-                self._sums(tf.where(slice_of == i), self.vocabulary.where(slice_of == i), key)
-                for i in range(self.slices)
-            ]
-            sums = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
-                mean_vector(F.col("m"), F.col("total")).alias("m"),
-                F.sum("total").alias("total"),
-                F.sum("used").alias("used"),
-                F.sum("square").alias("square"),
-            )
+        sums = self._sums(term_counts(cleaned, key), key)
         scale = F.col("total") / F.greatest(F.col("used"), F.lit(1))
         if self.use_tfidf:
             scale = F.try_divide(scale, F.sqrt("square"))
@@ -210,9 +207,15 @@ class TextVectorizer:
             key, as_vector(F.transform("m", lambda x: x * F.col("scale"))).alias("features")
         )
 
-    def _sums(self, tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    def _known(self, tf: DataFrame, key: str) -> DataFrame:
+        if self.words * row_bytes(self.size) <= BROADCAST_BYTES:
+            return tf.join(F.broadcast(self.vocabulary), "token", "left")
+        hot = hot_keys(tf, "token", counts=self.vocabulary.where("df IS NOT NULL").select("token", F.col("df").alias("rows")))
+        return skew_join(tf, self.vocabulary, "token", [key], "left", hot)
+
+    def _sums(self, tf: DataFrame, key: str) -> DataFrame:
         """(key, m, total, used, square): weighted mean, its weight, occurrences, squared norm."""
-        known = tf.join(F.broadcast(vocabulary), "token", "left")
+        known = self._known(tf, key)
         usable = F.col("vector").isNotNull() & (F.col("idf").isNotNull() | F.lit(not self.use_tfidf))
         weight = F.col("tf") * F.col("tf") * F.col("idf") if self.use_tfidf else F.col("tf").cast("double")
         zeros = F.array_repeat(F.lit(0.0), self.size)
@@ -246,7 +249,7 @@ def fit_vectorizer(
         word_vectors = fit_word_vectors(cleaned, **word2vec)
     idf = inverse_doc_freq(term_counts(cleaned, key), cleaned)
     vocabulary = materialize(
-        word_vectors.withColumnRenamed("word", "token").join(idf.select("token", "idf"), "token", "full_outer"),
+        word_vectors.withColumnRenamed("word", "token").join(idf.select("token", "idf", "df"), "token", "full_outer"),
         name="vocabulary",
     )
     size, words = vocabulary.agg(F.max(F.size("vector")), F.count("*")).first()

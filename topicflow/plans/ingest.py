@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import drop_all_duplicates, drop_failed, new_urls
+from ..operators.dedup import drop_all_duplicates, drop_failed, fetch_stats, new_urls
 from ..operators.lang import select_language
 from ..session import materialize
-from ..sources.pages import extract_articles
+from ..sources.pages import discover_urls, extract_articles, site_of
 from ..sources.store import append_articles, append_rejected, read_articles, read_rejected, urls_to_ignore
 
 
@@ -23,15 +23,17 @@ def clean_batch(
     lang: str = "en",
     min_score: float = 0.95,
     reject_language: bool = False,
+    scope: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new articles in the language, rejected urls) of one run.
 
     Unknown pages are parsed, failed ones rejected, all copies of repeated texts rejected,
-    other languages left out (and rejected on request).
+    other languages left out (and rejected on request).  With ``scope``, the stored articles,
+    texts that the store already holds are rejected, too.
     """
     parsed = materialize(extract_articles(new_urls(pages, ignore), parse_datetime), name="parsed")
     articles, failed = drop_failed(parsed)
-    unique, repeated = drop_all_duplicates(articles)
+    unique, repeated = drop_all_duplicates(articles, scope=scope)
     selected = materialize(select_language(unique, profiles, languages, lang, min_score), name="selected")
     rejected = failed.unionByName(repeated)
     if reject_language:
@@ -62,3 +64,31 @@ def ingest(
     rejected = materialize(rejected, name="rejected")
     append_articles(selected, articles_path)
     append_rejected(rejected, rejected_path)
+
+
+def ingest_sites(
+    sources: DataFrame,
+    pages: DataFrame,
+    articles_path: str,
+    rejected_path: str,
+    profiles: DataFrame,
+    languages: Sequence[str],
+    parse_datetime: Column | None = None,
+    **options,
+) -> DataFrame:
+    """One run over the sites of a source list (url): the links on their stored pages and the pages
+    themselves are the candidates; those not known yet are ingested.
+
+    Returns (site, all_urls, ignored, new_urls), as counted before the run.
+    """
+    spark = pages.sparkSession
+    sites = sources.select(site_of(F.col("url")).alias("_site")).distinct()
+    own = pages.join(sites, site_of(F.col("url")) == F.col("_site"), "left_semi")
+    candidates = discover_urls(own).unionByName(own.select(site_of(F.col("url")).alias("site"), "url"))
+    candidates = materialize(candidates, name="candidates")
+    ignore = urls_to_ignore(read_articles(spark, articles_path), read_rejected(spark, rejected_path))
+    stats = materialize(fetch_stats(candidates, ignore), name="stats")
+    wanted = new_urls(candidates, ignore).select("url").distinct()
+    found = pages.join(wanted, "url", "left_semi")
+    ingest(found, articles_path, rejected_path, profiles, languages, parse_datetime, **options)
+    return stats

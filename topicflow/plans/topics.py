@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import distinct_texts, fresh_since
+from ..operators.dedup import distinct_texts, fresh_since, with_row_key
 from ..operators.report import (
     FIXED_KEYWORDS,
     article_columns,
@@ -33,6 +33,15 @@ class TopicModel:
     def levels(self) -> list[str]:
         return [f"l{i}" for i in range(self.tree.depth)]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model for later runs; they label with it without training."""
+        self.vectorizer.save(f"{path}/vectorizer")
+        self.tree.save(spark, f"{path}/tree")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TopicModel:
+        return cls(TextVectorizer.load(spark, f"{path}/vectorizer"), TopicTree.load(spark, f"{path}/tree"))
+
 
 def train_topics(
     articles: DataFrame,
@@ -58,6 +67,9 @@ def train_topics(
 
 @dataclass
 class FreshSummaries:
+    """Tables of the fresh articles by ``row`` (see ``with_row_key``), and the topics' summaries."""
+
+    articles: DataFrame
     features: DataFrame
     labels: DataFrame
     summaries: DataFrame
@@ -71,22 +83,26 @@ def summarize_fresh(
     summarizer: Summarizer | None = None,
     ready_summaries: DataFrame | None = None,
 ) -> FreshSummaries:
-    """Label every fresh article, summarize it, then summarize each topic at each level."""
+    """Label every fresh article, summarize it, then summarize each topic at each level.
+
+    ``ready_summaries`` are (row, summary).  An article is known by its row key, so that articles
+    that share a url neither multiply nor mix.
+    """
     summarizer = summarizer or lead_summarizer()
-    fresh = fresh_since(articles, since).select("url", "content")
-    features = materialize(model.vectorizer.transform(fresh), name="features")
-    labels = materialize(predict_topics(features, model.tree), name="labels")
+    fresh = materialize(with_row_key(fresh_since(articles, since)).select("row", "url", "content"), name="fresh")
+    features = materialize(model.vectorizer.transform(fresh, "row"), name="features")
+    labels = materialize(predict_topics(features, model.tree, "row"), name="labels")
     summaries = ready_summaries
     if summaries is None:
-        summaries = materialize(summarize(fresh, summarizer), name="summaries")
-    topics = summarize_topics(summaries.join(labels, "url"), model.levels, summarizer)
-    return FreshSummaries(features, labels, summaries, materialize(topics, name="topics"))
+        summaries = materialize(summarize(fresh, summarizer, "row"), name="summaries")
+    topics = summarize_topics(summaries.join(labels, "row"), model.levels, summarizer, key="row")
+    return FreshSummaries(fresh.select("row", "url"), features, labels, summaries, materialize(topics, name="topics"))
 
 
 def topic_report(fresh: FreshSummaries, model: TopicModel) -> tuple[DataFrame, DataFrame]:
     """((level, topic_path, articles, name, summary), (parent, child))."""
     names = materialize(
-        topic_names(fresh.features, fresh.labels, model.levels, model.vectorizer.word_vectors), name="names"
+        topic_names(fresh.features, fresh.labels, model.levels, model.vectorizer.word_vectors, "row"), name="names"
     )
     report = names.join(fresh.topic_summaries, ["level", "topic_path"]).select(
         "level", "topic_path", "articles", "name", "summary"
@@ -106,9 +122,11 @@ def build_artifact(
     path: str,
     keywords: Sequence[str] = FIXED_KEYWORDS,
 ) -> None:
-    """Write the artifact of the fresh articles."""
-    assembled = materialize(
-        assemble_articles(fresh_since(articles, since), summaries, labels), name="assembled"
-    )
+    """Write the artifact of the fresh articles; summaries and labels are keyed by ``row`` or, from
+    stores where urls are unique, by url."""
+    fresh = fresh_since(articles, since)
+    key = "row" if "row" in summaries.columns else "url"
+    fresh = with_row_key(fresh) if key == "row" else fresh
+    assembled = materialize(assemble_articles(fresh, summaries, labels, key), name="assembled")
     header = artifact_header(assembled, topic_summaries, names, sources, F.lit(since).cast("timestamp"), keywords=keywords)
     write_artifact(header, article_columns(assembled, levels), path)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,11 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Place a scan of few splits on all cores; larger scans stay as they are read."""
+    """Place a scan of few splits on all cores; larger scans stay as they are read.
+
+    The rows are dealt by a hash of the key, which is no partitioning by the key to the planner:
+    later operators get the plan that they get on a large table.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, F.xxhash64(key))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -15,35 +15,72 @@ ENTITIES = {
 }
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 ARTICLE = r"(?is)<article[^>]*>(.*)</article>"
+MAIN = r"(?is)<main[^>]*>(.*)</main>"
+PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+NUMERIC = r"&#(\d{1,7});"
+HEXADECIMAL = r"(?i)&#x([0-9a-f]{1,6});"
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = tuple(rf"(?is)<{tag}[^>]*>.*?</{tag}>" for tag in ("script", "style", "nav", "footer"))
 TAG = r"(?s)<[^>]+>"
-HREF = r"(?i)href\s*=\s*[\"']([^\"'#]+)"
+# links that a reader can follow; style sheets and feeds are in other tags
+HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"'#]+)"
+# files that are no pages
+NOT_PAGES = r"(?i)\.(css|js|json|xml|rss|atom|png|jpe?g|gif|svg|ico|webp|pdf|zip|mp3|mp4)([?].*)?$"
 SITE = r"^([a-zA-Z]+://[^/?#]+)"
 
 
+def _characters(col: Column, pattern: str, base: int, mark: str) -> Column:
+    """Numeric entities as the characters they name; those that name none stay."""
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)))
+
+    def put(text: Column, digits: Column) -> Column:
+        code = F.conv(digits, base, 10).cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        point = F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")
+        entity = F.concat(F.lit(mark), digits, F.lit(";"))
+        return F.when(valid, F.replace(text, entity, F.decode(F.unhex(point), "UTF-32"))).otherwise(text)
+
+    return F.when(F.contains(col, F.lit("&#")), F.aggregate(found, col, put)).otherwise(col)
+
+
 def unescape(col: Column) -> Column:
+    # the ampersand last, so that what it uncovers is not resolved again
     for entity, character in ENTITIES.items():
-        col = F.replace(col, F.lit(entity), F.lit(character))
-    return col
+        if entity != "&amp;":
+            col = F.replace(col, F.lit(entity), F.lit(character))
+    col = _characters(_characters(col, NUMERIC, 10, "&#"), HEXADECIMAL, 16, "&#x")
+    return F.replace(col, F.lit("&amp;"), F.lit("&"))
 
 
-def visible_text(html: Column) -> Column:
-    """Text of a fragment without hidden parts and tags, entities resolved, single spaces."""
+def without_hidden(html: Column) -> Column:
     text = F.regexp_replace(html, COMMENT, " ")
     for pattern in HIDDEN:
         text = F.regexp_replace(text, pattern, " ")
-    return normalize_ws(unescape(F.regexp_replace(text, TAG, " ")))
+    return text
+
+
+def visible_text(html: Column) -> Column:
+    """Text of a fragment without hidden parts and tags, entities resolved, single spaces."""
+    return normalize_ws(unescape(F.regexp_replace(without_hidden(html), TAG, " ")))
 
 
 def extract_articles(pages: DataFrame, parse_datetime: Column) -> DataFrame:
-    """(url, html) → article rows; a page without article text has null title and content."""
-    text = visible_text(F.regexp_extract("html", ARTICLE, 1))
+    """(url, html) → article rows; a page without article text has null title and content.
+
+    The text is that of ``<article>``, without one that of ``<main>``, without either that of all
+    paragraphs outside hidden parts.
+    """
+    paragraphs = F.regexp_extract_all(without_hidden(F.col("html")), F.lit(PARAGRAPH), F.lit(1))
+    found = [
+        visible_text(F.regexp_extract("html", ARTICLE, 1)),
+        visible_text(F.regexp_extract("html", MAIN, 1)),
+        visible_text(F.array_join(paragraphs, " ")),
+    ]
     title = visible_text(F.regexp_extract("html", TITLE, 1))
     return pages.select(
         "url",
         title.alias("title"),
-        F.when(text != "", text).alias("content"),
+        F.coalesce(*(F.nullif(f, F.lit("")) for f in found)).alias("content"),
         F.lit(None).cast("string").alias("published_at"),
         parse_datetime.cast("string").alias("parse_datetime"),
     ).withColumn("title", F.when(F.col("content").isNotNull(), F.col("title")))
@@ -54,7 +91,7 @@ def site_of(url: Column) -> Column:
 
 
 def discover_urls(pages: DataFrame) -> DataFrame:
-    """Distinct (site, url) of the links on each site's pages, relative links resolved to the site."""
+    """Distinct (site, url) of the links to pages on each site's pages, relative ones resolved to the site."""
     site = F.regexp_extract("url", SITE, 1)
     links = pages.select(site.alias("site"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
     url = (
@@ -64,4 +101,4 @@ def discover_urls(pages: DataFrame) -> DataFrame:
         .when(F.col("href").startswith("/"), F.concat("site", "href"))
         .otherwise(F.concat("site", F.lit("/"), "href"))
     )
-    return links.select(F.lower("site").alias("site"), url.alias("url")).where("url IS NOT NULL").distinct()
+    return links.select(F.lower("site").alias("site"), url.alias("url")).where(F.col("url").isNotNull() & ~F.col("url").rlike(NOT_PAGES)).distinct()

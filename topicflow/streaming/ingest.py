@@ -21,13 +21,13 @@ def ingest_stream(
     languages: Sequence[str],
     checkpoint: str,
     parse_datetime: Column | None = None,
-    files_per_batch: int = 1000,
     **options,
 ) -> StreamingQuery:
     """Ingest every page file that has arrived, then stop.
 
-    Dropping all copies of a text needs a whole batch, which a stateful operator cannot
-    express; the scope is the run, hence ``foreachBatch``.  A batch that is replayed after a
+    Dropping all copies of a text needs all texts of the run, which a stateful operator cannot
+    express; hence ``foreachBatch``, and no limit on the files of a batch: whatever has arrived
+    is one run, however many files it has.  A batch that is replayed after a
     failure skips the urls it has already stored.
     """
 
@@ -36,7 +36,6 @@ def ingest_stream(
 
     return (
         spark.readStream.schema(PAGES)
-        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(path)
         .writeStream.foreachBatch(one_run)
         .option("checkpointLocation", checkpoint)
