@@ -6,10 +6,10 @@ between two sets with a probability equal to their Jaccard similarity.  Bands of
 in buckets.
 
 Equal sets are one node from the start.  Each bucket's members are first compared with a few of
-them, its hubs, on their full sets; whatever a bucket then still holds apart, in different
-components, is compared pair by pair, but for pairs that set sizes or the triangle inequality of
-the Jaccard distances to the hubs rule out.  So no bucket of near copies is expanded into its pairs,
-and no candidate is dropped.  Components of links between equal or near sets get the smallest id.
+them, its hubs, on their full sets.  Sets that are then still outside the bucket's most frequent
+component are compared with all its members, inside tasks that hold a tile of them at a time and
+send on links only.  So no bucket of near copies is expanded into its pairs, and no candidate is
+dropped.  Components of links between equal or near sets get the smallest id.
 
 Documents without a word or a text have no shingles and link with nothing.  Rows that repeat an id
 stand for themselves in the comparison and share the id's component; a null id is never smallest,
@@ -29,12 +29,13 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .components import components
 from .frames import column, fresh, require
-from .texts import U64, Chunk, RollingHash, chunks, mix
+from .texts import U64, Chunk, RollingHash, chunks, mix, runs
 
 SHINGLE = 3
 PERCENT = 85
 ROWS = 5
 HUBS = 3
+TILE_SETS = 512
 BANDS = 20  # a pair at the limit of 85 % shares no band with a probability of about 8e-6
 
 _CODES = np.random.Generator(np.random.PCG64(23)).integers(0, 2**64, (2, 512), dtype=U64, endpoint=False)
@@ -173,42 +174,97 @@ def _hubs(placed: DataFrame) -> DataFrame:
     return found.where("_n > 1").select("bucket", F.col("hubs.set_id").alias("hubs"))
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members (bucket, set_id, n, root, gaps) of one bucket whose roots differ and that may
-    still be near.  A pair is taken from the smallest bucket it shares.
+def _stray_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, tile, visitor, set_id, root, stray, hashes) from members (bucket, set_id, root).
 
-    The distance of two sets is at least the difference of their distances to any third one; in
-    each bucket that both share, both know theirs to its hubs.
+    Of each bucket that holds several roots, the sets outside its most frequent root are strays.
+    They are dealt to tiles of about ``TILE_SETS``, and every member of the bucket visits each tile.
     """
-    names = {"set_id": "a", "n": "na", "root": "ra", "gaps": "ga"}
-    x = members.withColumnsRenamed(names)
-    y = members.withColumnsRenamed({k: v.replace("a", "b") for k, v in names.items()})
-    limit = (100 - percent) / 100 + 1e-9
-    shared = F.array_intersect(F.map_keys("ga"), F.map_keys("gb"))
-    far = F.exists(
-        shared, lambda k: F.exists(F.zip_with(F.col("ga")[k], F.col("gb")[k], lambda u, v: F.abs(u - v) > limit), lambda t: t)
+    counts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("m"), (F.sum("n") - F.max("n")).alias("strays")
     )
-    return (
-        x.join(y, "bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .where((F.array_min(shared) == F.col("bucket")) & ~far)
-        .select("a", "b")
+    main = main.where("strays > 0").select(
+        "bucket", F.col("m.root").alias("main"), F.ceil(F.col("strays") / TILE_SETS).cast("int").alias("tiles")
     )
+    rows = members.join(main, "bucket").withColumn("stray", F.col("root") != F.col("main"))
+    own = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
+    visits = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(True).alias("visitor")))
+    home = F.array(F.struct(own.alias("tile"), F.lit(False).alias("visitor")))
+    places = F.when(F.col("stray"), F.concat(visits, home)).otherwise(visits)
+    placed = rows.select("bucket", "set_id", "root", "stray", F.inline(places))
+    return placed.join(sets, "set_id").select("bucket", "tile", "visitor", "set_id", "root", "stray", "hashes")
+
+
+class _Strays:
+    """The strays of one tile, indexed by shingle."""
+
+    def __init__(self) -> None:
+        self.ids: list[bytes] = []
+        self.roots: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.seen: set[tuple[int, bytes]] = set()
+        self.hashes: np.ndarray | None = None
+
+    def index(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sets])
+        hashes = np.concatenate(self.sets)
+        order = np.argsort(hashes, kind="stable")
+        self.owners = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        self.hashes, self.starts, self.counts = np.unique(hashes[order], return_index=True, return_counts=True)
+
+    def near(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The strays that are near the set ``own``."""
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        at = at[self.hashes[at] == own]
+        common = np.bincount(self.owners[runs(self.starts[at], self.counts[at])], minlength=len(self.sizes))
+        return np.flatnonzero((100 + percent) * common >= percent * (self.sizes + len(own)))
+
+
+def _stray_links(percent: int):
+    """Reads whole tiles, strays first; yields one link (a, b) per stray and root that it is near to."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile = None, _Strays()
+        for batch in batches:
+            left, right = [], []
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for i, (bucket, number, visitor, set_id, root, stray) in enumerate(zip(*columns)):
+                if (bucket, number) != at:
+                    at, tile = (bucket, number), _Strays()
+                own = np.frombuffer(batch.column(6)[i].as_buffer(), U64)
+                if not visitor:
+                    tile.ids.append(set_id)
+                    tile.roots.append(root)
+                    tile.sets.append(own.copy())
+                    continue
+                if not tile.ids:
+                    continue
+                if tile.hashes is None:
+                    tile.index()
+                for j in tile.near(own, percent):
+                    if tile.roots[j] == root or (stray and set_id <= tile.ids[j]) or (j, root) in tile.seen:
+                        continue
+                    tile.seen.add((j, root))
+                    left.append(tile.ids[j])
+                    right.append(set_id)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return work
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, text) to (id, n_shingles, component)."""
     sketches = materialize(sketch(docs, size, rows, bands), name="sketches")
     nodes = sketches.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.min("id").alias("least"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")
+        F.min("id").alias("least"), F.any_value("bands").alias("bands")
     )
     nodes = materialize(nodes, name="sets")
-    placed = nodes.select("set_id", "n", F.explode("bands").alias("bucket"))
+    placed = nodes.select("set_id", F.explode("bands").alias("bucket"))
     members = materialize(placed.join(_hubs(placed), "bucket"), name="members")
-    to_hubs = members.select("bucket", "set_id", F.posexplode("hubs").alias("j", "hub"))
-    a, b = F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")
-    pairs = to_hubs.where("set_id != hub").select(a, b).distinct()
+    to_hubs = members.select("set_id", F.explode("hubs").alias("hub")).where("set_id != hub")
+    pairs = to_hubs.select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
     involved = members.select("set_id").distinct().join(nodes.select("set_id", F.col("least").alias("id")), "set_id")
     sets = materialize(full_sets(docs, involved, size), name="shingles")
     first = materialize(compared(pairs, sets), name="compared")
@@ -217,22 +273,10 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = first.where(linked).select("a", "b")
     roots = components(links).withColumnRenamed("node", "set_id")
 
-    rooted = members.select("bucket", "set_id", "n").join(roots, "set_id", "left")
+    rooted = members.select("bucket", "set_id").join(roots, "set_id", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "set_id")), name="rooted")
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
-    apart = apart.select("bucket")
-    distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    gaps = (
-        to_hubs.join(apart, "bucket", "left_semi")
-        .withColumns({"a": a, "b": b})
-        .join(first.select("a", "b", distance.alias("gap")), ["a", "b"], "left")
-        .withColumn("gap", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("gap")))
-    )
-    # at most bands * HUBS numbers per set
-    gaps = gaps.groupBy("set_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("j", "gap"))).alias("gaps"))
-    gaps = gaps.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "gaps.gap"))).alias("gaps"))
-    rest = _cross_pairs(rooted.join(apart, "bucket").join(gaps, "set_id"), percent)
-    second = compared(rest, sets).where(linked).select("a", "b")
+    tiles = _stray_rows(rooted, sets).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "visitor")
+    second = tiles.mapInArrow(_stray_links(percent), "a binary, b binary")
     links = materialize(links.union(second), name="links")
     roots = components(links)
     named = nodes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
