@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import column
-from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, runs
+from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, mix, runs
 
 KEYS_PER_PART = 100_000
 PARTS_PER_TASK = 4
@@ -244,7 +244,8 @@ def repeated_anchors(
                 if not len(at):
                     continue
                 text = np.searchsorted(bounds, at, "right") - 1
-                keys = hashes.spans(at, at + base)
+                # anchors have small hashes: mixed again, their keys fall evenly into the parts
+                keys = mix(hashes.spans(at, at + base))
                 sides = []
                 for low, high, inside in (
                     (at, at + longer, at + longer <= bounds[text + 1]),

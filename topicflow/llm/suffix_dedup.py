@@ -199,7 +199,7 @@ def _sorted_runs(length: int, parts: int):
                 if not len(place):
                     continue
                 at = place + chunk.offsets[text]
-                keys = chunk.byte_hash.spans(at, at + base)
+                keys = mix(chunk.byte_hash.spans(at, at + base))  # spread as in repeated_anchors
                 low = np.maximum(at - left, chunk.offsets[text])
                 high = np.minimum(at + length, chunk.offsets[text + 1])
                 whole = chunk.byte_hash.spans(low, high) ^ mix((at - low).astype(U64) << U64(32) | (high - at).astype(U64))
