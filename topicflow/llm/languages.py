@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, fresh, hash_order, require
+from .frames import column, fresh, hash_order, require, small_batches
 from .texts import U64, Chunk, chunks, mix
 
 ORDERS = (3, 4)
@@ -209,6 +209,7 @@ def identify_languages(
     Filters are learned from the rows where ``train`` holds; a prediction reads the text alone.
     """
     require(docs, [id_col, text_col, lang_col])
+    small_batches(docs.sparkSession)
     labelled = docs.where(train).select(
         column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang")
     )

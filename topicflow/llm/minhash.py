@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .components import components
-from .frames import column, fresh, require
+from .frames import column, fresh, require, small_batches
 from .texts import U64, Chunk, RollingHash, chunks, mix, runs
 
 SHINGLE = 3
@@ -256,6 +256,7 @@ def _stray_links(percent: int):
 
 def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, text) to (id, n_shingles, component)."""
+    small_batches(docs.sparkSession)
     sketches = materialize(sketch(docs, size, rows, bands), name="sketches")
     nodes = sketches.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
         F.min("id").alias("least"), F.any_value("bands").alias("bands")

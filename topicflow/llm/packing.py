@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .frames import column, require
+from .frames import column, require, small_batches
 from .texts import chunks
 from .tokens import load_encoder
 
@@ -185,6 +185,7 @@ def pack(
     """
     require(docs, [id_col, text_col])
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = materialize(piece_table(docs, tokenizer, seq_len, id_col, text_col, end_token, keep_ids), name="pieces")
     parts = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     counted = parts.groupBy("length").agg(F.sum("_n").alias("_n")).toArrow()  # at most seq_len rows

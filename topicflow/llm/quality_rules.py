@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, fresh, require
+from .frames import column, fresh, require, small_batches
 from .texts import Chunk, chunks, concat_columns
 
 SYMBOLS = "#*$%&|<>"
@@ -134,6 +134,7 @@ def judge_documents(
     before they leave a task, and once for the result, joined with one row per host.
     """
     require(docs, [text_col, host_col])
+    small_batches(docs.sparkSession)
     mark, key = fresh(docs, "quality", "quality_host")
     judged = measured(docs, mark, text_col)
     words, repeats = F.col(f"{mark}.n_words"), F.col(f"{mark}.n_repeat_words")

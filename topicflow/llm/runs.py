@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column
+from .frames import column, small_batches
 from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, mix, runs
 
 KEYS_PER_PART = 100_000
@@ -35,6 +35,7 @@ TEXT_KEYS = ["id", "hash"]
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, text): the key of a text as described above; null texts are empty."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     key = F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID))
     return docs.select(key.alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, fresh, hash_order, require
+from .frames import column, fresh, hash_order, require, small_batches
 from .texts import U64, Chunk, RollingHash, _BYTE_CODE, chunks, mix, runs
 
 COLUMNS = 1 << 20
@@ -245,6 +245,7 @@ def score_toxicity(
     may be learned from.
     """
     require(docs, [id_col, text_col])
+    small_batches(docs.sparkSession)
     texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     marks = labels.where(train).select(column(id_col).alias("id"), column(label_col).alias("label"))
     (name,) = fresh(docs, "toxicity")
