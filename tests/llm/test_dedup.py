@@ -119,6 +119,32 @@ def test_vectors_of_many_cells(spark, monkeypatch):
     assert got == brute.vector_links(rows)
 
 
+def test_a_link_at_the_edge_of_a_block_counts_once(spark):
+    from topicflow.llm.vector_join import BLOCKS, LIMIT, SLACK, rotation
+
+    rng = np.random.default_rng(6)
+    size = 64
+    edges = np.linspace(0, size, BLOCKS + 1).round().astype(int)
+    budget = (2 - 2 * LIMIT) / BLOCKS + SLACK
+    rows = []
+    for i in range(40):
+        one = rng.normal(size=size)
+        one /= np.linalg.norm(one)
+        other = one.copy()
+        # turns one vector inside some blocks, so far that its squared distance there ends just under the budget
+        for block in range(i % (BLOCKS - 1) + 1):
+            a, e = edges[block], edges[block + 1]
+            across = rng.normal(size=e - a)
+            across -= one[a:e] * (across @ one[a:e]) / np.square(one[a:e]).sum()
+            across *= np.linalg.norm(one[a:e]) / np.linalg.norm(across)
+            cosine = 1 - (budget - SLACK / 4) / (2 * np.square(one[a:e]).sum())
+            other[a:e] = cosine * one[a:e] + np.sqrt(1 - cosine**2) * across
+        rows += [(2 * i, (rotation(size) @ one).tolist()), (2 * i + 1, (rotation(size) @ other).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_id(link_vectors(df), "vec_id", "n_links", "component_id")
+    assert got == brute.vector_links(rows) == {i: (1, i - i % 2) for i in range(80)}
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
