@@ -74,6 +74,39 @@ def test_pairs_of_terms_are_learned():
     assert both > 0.7 > 0.25 > max(only_a, only_b)
 
 
+def test_rare_pairs_of_neutral_terms_are_learned():
+    random = np.random.default_rng(0)
+    rows, labels = [], []
+    # term 1 in 600 texts and term 2 in 3000, 60 of them the same and toxic; each alone is too near the mean
+    for i in range(15000):
+        own = {*([1] if i < 600 else []), *([2] if i < 60 or 600 <= i < 3540 else [])}
+        rows.append(sorted(own | set((1000 + random.integers(0, 2000, 20)).tolist())))
+        labels.append(1.0 if i < 60 else float(random.random() < 0.05))
+    bounds = np.cumsum([0, *map(len, rows)])
+    machine = train_machine(np.concatenate(rows), bounds, np.array(labels))
+    assert machine.used.tolist() == [1, 2]
+    only_a, only_b, both = machine.scores(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 4]))
+    assert both > 0.5 > 0.15 > max(only_a, only_b)
+
+
+def test_pairs_whose_terms_pass_no_screen_are_learned():
+    random = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(15000):
+        own = {*([1] if i < 3000 else []), *([2] if i < 60 or 3000 <= i < 5940 else [])}
+        rows.append(sorted(own | set((1000 + random.integers(0, 2000, 20)).tolist())))
+        # as many toxic texts as make each term's own share the mean of all
+        labels.append(float(i < 60 or (i - 60) % 30 == 0 if i < 5940 else i % 20 == 0))
+    terms, labels = np.concatenate(rows), np.array(labels)
+    bounds = np.cumsum([0, *map(len, rows)])
+    for term in (1, 2):
+        texts = labels[[term in row for row in rows]]
+        assert abs(texts.mean() - labels.mean()) < 5 * np.sqrt(labels.mean() * (1 - labels.mean()) / len(texts))
+    machine = train_machine(terms, bounds, labels)
+    only_a, only_b, both = machine.scores(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 4]))
+    assert both > 0.5 > 0.15 > max(only_a, only_b)
+
+
 def test_toxicity_of_odd_rows(odd, spark):
     labels = spark.createDataFrame([(1, 0), (12, 1), (5, None), (99, 1), (None, 1)], "doc_id long, toxic int")
     scored = score_toxicity(odd, labels, ~held_out(F.col("doc_id")))

@@ -33,6 +33,7 @@ MIN_TEXTS = 5
 MIN_Z = 5.0
 EPOCHS = 30
 BATCH = 256
+PAIR_CELLS = 1 << 22  # read at a time when pairs of terms are counted
 RATE = 0.1
 DECAY = 1e-3
 SEED = 11
@@ -113,10 +114,92 @@ def _distinct(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> tuple
     return term[runs(bounds[first], counts)], np.concatenate([[0], np.cumsum(counts)]), means
 
 
+def _evidence(texts: np.ndarray, marked: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Bound on minus the log of the chance of so many marked texts, or so few, at a share."""
+    seen = marked / texts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        high = np.where(marked > 0, marked * np.log(seen / share), 0)
+        low = np.where(texts > marked, (texts - marked) * np.log((1 - seen) / (1 - share)), 0)
+    return np.nan_to_num(high + low, nan=0.0, posinf=np.inf)
+
+
+def term_pairs(
+    term: np.ndarray, bounds: np.ndarray, labels: np.ndarray, texts: np.ndarray, marked: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of terms whose share of label 1 is far from what their two terms give alone, the surest
+    first, and how far off in log odds.
+
+    A pair may have more marked texts than the larger share of its terms and the sum of their log odds
+    explain, or fewer than both explain; it must be as sure as one term at ``MIN_Z`` after allowing
+    for the number of pairs.  Terms are passed over only if no pair of theirs can reach that.
+    """
+    often = texts >= MIN_TEXTS
+    share = labels.mean()
+    least = MIN_Z**2 / 2 + np.log(max(1.0, often.sum() * (often.sum() - 1.0) / 2))
+    clean = texts - marked
+    own = np.divide(marked, texts, out=np.zeros(len(texts)), where=often)
+    # marked texts that more than the mean takes at least; what clean texts of the term with the larger share can show
+    high = often & (marked * -np.log(share) >= least)
+    shows = np.zeros(len(texts))
+    mixed = often & (clean > 0)
+    shows[mixed] = -clean[mixed] * np.log(1 - own[mixed])
+    low = shows >= least
+    needs = least / -np.log(1 - own[low].max()) if low.any() else np.inf
+    names = np.flatnonzero(high | low | (often & (clean >= needs)))
+    pairs = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    place = np.full(len(texts), -1, np.int32)
+    place[names] = np.arange(len(names))
+    kept = place[term] >= 0
+    cells, bounds = place[term[kept]], np.concatenate([[0], np.cumsum(kept)])[bounds]
+    counts = np.diff(bounds)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    by_term = np.argsort(cells, kind="stable")
+    of_term = np.searchsorted(cells[by_term], np.arange(len(names) + 1))
+    own = np.clip(own[names], 1e-9, 1 - 1e-9)
+    odds = np.log(own / (1 - own)) - np.log(share / (1 - share)) / 2
+    for a in np.flatnonzero((high | low)[names]):
+        mine = owner[by_term[of_term[a] : of_term[a + 1]]]
+        both, hits = np.zeros(len(names)), np.zeros(len(names))
+        cuts = np.cumsum(counts[mine]) // PAIR_CELLS
+        for part in np.split(mine, np.flatnonzero(np.diff(cuts)) + 1):
+            both += np.bincount(cells[runs(bounds[part], counts[part])], minlength=len(names))
+            part = part[labels[part] > 0]
+            hits += np.bincount(cells[runs(bounds[part], counts[part])], np.repeat(labels[part], counts[part]), len(names))
+        b = np.flatnonzero(both >= MIN_TEXTS)
+        b = b[b != a]
+        n, m = both[b], np.minimum(hits[b], both[b])
+        added, larger = _sigmoid(odds[a] + odds[b]), np.maximum(own[a], own[b])
+        above, below = np.maximum(np.maximum(added, larger), share), np.minimum(added, larger)
+        sure, under = _evidence(n, m, above), _evidence(n, m, below)
+        over = (m > n * above) & (sure >= least)
+        far = np.flatnonzero(over | ((m < n * below) & (under >= least)))
+        usual = np.where(over, above, below)[far]
+        gaps = np.log((m[far] + usual) / (n[far] - m[far] + 1 - usual)) - np.log(usual / (1 - usual))
+        pairs.append((np.where(over, sure, under)[far], np.full(len(far), names[a]), names[b[far]], gaps))
+    sure, one, other, gaps = map(np.concatenate, zip(*pairs))
+    order = np.argsort(-sure, kind="stable")
+    return one[order], other[order], gaps[order]
+
+
+def _begin(factors: np.ndarray, one: np.ndarray, other: np.ndarray, gaps: np.ndarray) -> None:
+    """Lets each term's factors begin where its surest pair has its gap: from factors near zero the
+    few texts of a rare pair do not move them."""
+    done = np.zeros(len(factors), bool)
+    for a, b, gap in zip(one, other, gaps):
+        if done[b]:
+            a, b = b, a
+        if done[b]:
+            continue
+        if not done[a]:
+            factors[a] *= np.sqrt(abs(gap)) / np.linalg.norm(factors[a])
+        factors[b] = factors[a] * (gap / np.square(factors[a]).sum())
+        done[a] = done[b] = True
+
+
 def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
     """Mini-batch AdaGrad with decay, on the terms of at least ``MIN_TEXTS`` different texts whose
-    share of label 1 is more than ``MIN_Z`` standard errors off the mean: a rare word may otherwise
-    learn the labels of its texts by heart."""
+    share of label 1, alone or in a pair (``term_pairs``), is more than ``MIN_Z`` standard errors
+    off what is expected: a rare word may otherwise learn the labels of its texts by heart."""
     if len(labels):
         term, bounds, labels = _distinct(term, bounds, labels)
     share = float(labels.mean()) if len(labels) else 0.0
@@ -128,11 +211,14 @@ def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> F
     texts = np.bincount(term, minlength=COLUMNS)
     marked = np.bincount(term, np.repeat(labels, np.diff(bounds)), COLUMNS)
     z = (marked - texts * share) / np.sqrt(np.maximum(texts, 1) * share * (1 - share))
-    machine.used = np.flatnonzero((texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
+    single = np.flatnonzero((texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
+    one, other, gaps = term_pairs(term, bounds, labels, texts, marked)
+    machine.used = np.unique(np.concatenate([single, one, other]))
     row, bounds = known_cells(machine.rows[term], bounds)
     random = np.random.Generator(np.random.PCG64(SEED))
     weights = np.zeros(len(machine.used) + 1)
     factors = random.normal(0, 0.02, (len(weights), FACTORS))
+    _begin(factors, machine.rows[one], machine.rows[other], gaps)
     bias, past_bias = machine.bias, 1e-4
     past_weights, past_factors = np.full(len(weights), 1e-4), np.full(factors.shape, 1e-2)
     for _ in range(EPOCHS):
