@@ -9,8 +9,6 @@ from ..operators import topics as T
 from ..session import materialize, new_path
 from .base import embeddings, query
 
-SMALL = {"k": 8, "latent": 16, "max_iter": 10}
-
 
 def vectors(spark, sf):
     return materialize(embeddings(spark, sf), name="vectors")
@@ -40,12 +38,12 @@ def topic_classifier(spark, sf):
 @query("fit_topic_node")
 def fit_topic_node(spark, sf):
     rows = vectors(spark, sf)
-    return T.fit_topic_node(rows, **SMALL).predict(rows).select("vec_id", "topic")
+    return T.fit_topic_node(rows).predict(rows).select("vec_id", "topic")
 
 
 def _tree(spark, sf):
     rows = vectors(spark, sf)
-    return rows, T.fit_topic_tree(rows, 2, **SMALL)
+    return rows, T.fit_topic_tree(rows)
 
 
 @query("fit_topic_tree")
@@ -72,7 +70,7 @@ def route_to_child(spark, sf):
 @query("extract_topic_features")
 def extract_topic_features(spark, sf):
     rows, tree = _tree(spark, sf)
-    return T.extract_topic_features(rows, tree, SMALL["latent"], "vec_id")
+    return T.extract_topic_features(rows, tree, key="vec_id")
 
 
 @query(
@@ -95,13 +93,13 @@ def choose_k(spark, sf):
 
 @query("soft_clusters")
 def soft_clusters(spark, sf):
-    soft = T.soft_clusters(embeddings(spark, sf).drop("label"), 5, top=2, max_iter=10)
+    soft = T.soft_clusters(embeddings(spark, sf).drop("label"), 5, top=2)
     return soft.select("vec_id", "label", "probabilities")
 
 
 @query("soft_cluster_tree")
 def soft_cluster_tree(spark, sf):
-    return T.soft_cluster_tree(T.latent_features(vectors(spark, sf), 8).select("vec_id", F.col("latent").alias("features")), [3, 2], "vec_id")
+    return T.soft_cluster_tree(T.latent_features(vectors(spark, sf)).select("vec_id", F.col("latent").alias("features")), [3, 2], "vec_id")
 
 
 @query("project_2d")

@@ -268,5 +268,4 @@ def mean_pool(spark, sf):
 @query("word2vec")
 def word2vec(spark, sf):
     texts = materialize(cleaned(spark, sf), name="cleaned")
-    vectors = terms.fit_word_vectors(texts, size=16, epochs=1, min_count=2)
-    return vectors.select("word", F.size("vector").alias("size"))
+    return terms.fit_word_vectors(texts)
