@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_windows import chat_windows, read_back
+from .fill_middle import fill_in_middle, restored
 from .frames import held_out
 from .languages import identify_languages
 from .lm_scoring import cross_entropy_difference
+from .merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from .minhash import near_duplicates
 from .mixing import mix_rates
 from .packing import pack
@@ -194,3 +197,123 @@ def vector_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_minhash_near_duplicates")
 def minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+    SELECT doc_id, text, units, len(units) AS n,
+        CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS other,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+    SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:least(one, other)], ''), '') AS prefix,
+        coalesce(array_to_string(units[least(one, other) + 1:greatest(one, other)], ''), '') AS middle,
+        coalesce(array_to_string(units[greatest(one, other) + 1:], ''), '') AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+        ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts""",
+)
+def fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    digests = [F.sha2(output, 256).alias("output_sha256"), F.sha2(restored(output, form), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", *digests)
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(text: str) -> str:
+    values = [*(f"CAST({c} AS VARCHAR)" for c in LEAF_FIELDS[:-1]), text]
+    parts = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+@query(
+    "op12_interval_manifest",
+    f"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(entry ORDER BY i) AS entries FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS entry
+        FROM (SELECT unnest(range(256)) AS i))),
+leaves AS (
+    SELECT doc_id, lang, {_leaf_sql('text')} AS leaf,
+        {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS tampered,
+        xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+            lambda c, b: xor(c >> 8, entries[xor(c, b) % 256 + 1]))) AS crc
+    FROM documents, crc_table),
+placed AS (
+    SELECT doc_id, lang, leaf, CASE WHEN crc % 3 = 0 THEN tampered ELSE leaf END AS claimed,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+nodes AS (
+    SELECT lang, 0 AS level, place, leaf AS digest FROM placed
+    UNION ALL
+    SELECT lang, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM nodes) WHERE n > 1 GROUP BY lang, level, place // 8),
+langs AS (
+    SELECT lang, subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+    FROM (SELECT lang, arg_max(digest, level) AS subroot FROM nodes GROUP BY lang)),
+crown AS (
+    SELECT 0 AS level, place, subroot AS digest FROM langs
+    UNION ALL
+    SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY level, place // 8),
+both_trees AS (
+    SELECT 'in ' || coalesce('=' || lang, '') AS tree, level, place, digest FROM nodes UNION ALL SELECT 'crown', * FROM crown),
+sibling_runs AS (
+    SELECT tree, level, place // 8 AS run, list(place ORDER BY place) AS places, list(digest ORDER BY place) AS digests,
+        level < max(level) OVER (PARTITION BY tree) AS inner_run
+    FROM both_trees GROUP BY tree, level, place // 8),
+paths AS (
+    SELECT lang, place AS leaf_place, 'in ' || coalesce('=' || lang, '') AS tree, 0 AS part, place FROM placed
+    UNION ALL
+    SELECT p.lang, p.place, 'crown', 1, l.place FROM placed p JOIN langs l ON l.lang IS NOT DISTINCT FROM p.lang),
+steps AS (
+    SELECT lang, leaf_place, part, r.level,
+        coalesce(array_to_string(list_filter(digests, lambda d, i: places[i] < p.place // CAST(pow(8, r.level) AS BIGINT)), ''), '') AS l,
+        coalesce(array_to_string(list_filter(digests, lambda d, i: places[i] > p.place // CAST(pow(8, r.level) AS BIGINT)), ''), '') AS r
+    FROM paths p JOIN sibling_runs r ON r.tree = p.tree AND r.inner_run AND r.run = p.place // CAST(pow(8, r.level + 1) AS BIGINT)),
+proofs AS (
+    SELECT lang, leaf_place, string_agg(l || r, '' ORDER BY part, level) AS proof, list(l || '|' || r ORDER BY part, level) AS path
+    FROM steps GROUP BY lang, leaf_place),
+folded AS (
+    SELECT doc_id, p.lang, leaf, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(list_prepend(claimed, coalesce(path, [])),
+            lambda own, s: sha256(concat(split_part(s, '|', 1), own, split_part(s, '|', 2)))) AS folded_root
+    FROM placed p LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.leaf_place = p.place)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded f JOIN langs s ON s.lang IS NOT DISTINCT FROM f.lang, (SELECT arg_max(digest, level) AS root FROM crown)""",
+)
+def interval_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(*LEAF_FIELDS)
+    upper = "".join(map(chr, range(0x41, 0x5B)))
+    changed = leaf_digest([*(F.col(c) for c in LEAF_FIELDS[:-1]), F.translate("text", upper, upper.lower())])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    # where nothing is changed, a row's claim is its leaf
+    rows = merkle_manifest(docs, LEAF_FIELDS, carry={"claimed": F.when(tampered, changed)}).rows
+    root = folded(F.coalesce("claimed", "leaf"), F.col("steps"))
+    found = rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query("op13_chat_windows")
+def chats(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    rows = given.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    return read_back(chat_windows(rows, public_tokenizers.path(TOKENIZER)), ordered=True)
