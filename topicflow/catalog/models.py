@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_array
@@ -26,13 +27,13 @@ def single_topic(spark, sf):
 
 @query("latent_features")
 def latent_features(spark, sf):
-    return T.latent_features(embeddings(spark, sf)).select("vec_id", as_array(F.col("latent")).alias("latent"))
+    return T.latent_features(embeddings(spark, sf)).select("vec_id", "latent")
 
 
 @query("topic_classifier")
 def topic_classifier(spark, sf):
     scored = T.topic_classifier(T.latent_features(vectors(spark, sf)))
-    return scored.select("vec_id", "label", "topic", as_array(F.col("scores")).alias("scores"))
+    return scored.select("vec_id", "label", "topic", "scores")
 
 
 @query("fit_topic_node")
@@ -99,7 +100,8 @@ def soft_clusters(spark, sf):
 
 @query("soft_cluster_tree")
 def soft_cluster_tree(spark, sf):
-    return T.soft_cluster_tree(T.latent_features(vectors(spark, sf)).select("vec_id", F.col("latent").alias("features")), [3, 2], "vec_id")
+    latent = T.latent_features(vectors(spark, sf)).select("vec_id", array_to_vector("latent").alias("features"))
+    return T.soft_cluster_tree(latent, [3, 2], "vec_id")
 
 
 @query("project_2d")

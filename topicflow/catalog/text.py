@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vectors import as_array, l2_normalize
 from ..operators import terms
+from ..operators.word_vectors import word_associations
 from ..session import materialize
 from .base import (
     ARTICLES,
@@ -265,6 +266,29 @@ def mean_pool(spark, sf):
     return pooled.select("url", *vector_columns(F.col("vector")))
 
 
+ASSOCIATIONS = f"""WITH {TOKENS},
+frequent AS (SELECT token FROM tokens GROUP BY token HAVING count(*) >= 2),
+near AS (
+    SELECT least(a.token, b.token) AS word, greatest(a.token, b.token) AS other,
+        CAST(sum((6 - d) * CASE WHEN a.token = b.token THEN 2 ELSE 1 END) AS BIGINT) AS n
+    FROM (SELECT *, unnest(range(1, 6)) AS d FROM tokens) a JOIN tokens b ON b.url = a.url AND b.pos = a.pos + a.d
+    GROUP BY least(a.token, b.token), greatest(a.token, b.token)),
+degrees AS (
+    SELECT token, sum(n) AS degree FROM (
+        SELECT word AS token, n FROM near UNION ALL SELECT other, n FROM near WHERE word <> other) GROUP BY token),
+weighed AS (
+    SELECT word, other, n, ln(n * (SELECT sum(degree) FROM degrees) / (a.degree * b.degree)) AS pmi
+    FROM near JOIN degrees a ON a.token = word JOIN degrees b ON b.token = other
+    WHERE word IN (SELECT token FROM frequent) AND other IN (SELECT token FROM frequent))
+SELECT word, other, n, round(pmi, 6) AS pmi FROM weighed WHERE pmi > 0"""
+
+
+@query("word_associations", ASSOCIATIONS)
+def associations(spark, sf):
+    texts = materialize(cleaned(spark, sf), name="cleaned")
+    return word_associations(texts).withColumn("pmi", F.round("pmi", 6))
+
+
 @query("word2vec")
 def word2vec(spark, sf):
     texts = materialize(cleaned(spark, sf), name="cleaned")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +20,10 @@ from ..functions.text import (
 from ..functions.vectors import as_array, as_vector, l2_normalize, mean_vector
 from ..session import materialize
 from .placement import hot_keys, lookup_join, skew_join
+from .word_vectors import fit_word_vectors
 
 BROADCAST_BYTES = 256 << 20
 DICTIONARY_ROWS = 500_000
-TEXTS_PER_TRAINING_TASK = 1_000_000
 
 
 def explode_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -132,28 +131,6 @@ def lookup_vectors(tokens: DataFrame, word_vectors: DataFrame, idf: DataFrame, s
     return skew_join(tokens, vocabulary, "token", list(spread))
 
 
-def fit_word_vectors(
-    cleaned: DataFrame,
-    size: int = 384,
-    window: int = 5,
-    min_count: int = 2,
-    epochs: int = 100,
-    seed: int = 45,
-    partitions: int | None = None,
-) -> DataFrame:
-    """(word, vector) by skip-gram word2vec on the words of ``cleaned``.
-
-    The texts are trained on in parallel parts, more of them for more texts.
-    """
-    words = cleaned.select(F.split("cleaned", " ").alias("words"))
-    partitions = partitions or 8 + words.count() // TEXTS_PER_TRAINING_TASK
-    model = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-        numPartitions=partitions, inputCol="words", outputCol="v",
-    ).fit(words)
-    return model.getVectors().select("word", as_array(F.col("vector")).alias("vector"))
-
-
 @dataclass
 class TextVectorizer:
     """A fitted vocabulary (token, vector, idf, df); the last two are null outside the TF-IDF vocabulary."""
