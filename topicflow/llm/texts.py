@@ -7,6 +7,7 @@ words are those of the pattern ``[^\\x20\\x09-\\x0D]+`` on characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,7 +15,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -35,18 +36,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd number and of its inverse modulo 2**64, grown on demand.
+
+    Tables for a longer text than a few chunks are made for it and not kept.
+    """
+
+    KEPT = 4 * CHUNK_BYTES
 
     def __init__(self, base: int):
         self.bases = (base, pow(base, -1, 2**64))
         self.tables = [np.ones(1, U64), np.ones(1, U64)]
 
     def get(self, n: int, inverse: bool = False) -> np.ndarray:
-        if len(self.tables[inverse]) < n:
-            steps = np.full(-(-n >> 20) << 20, self.bases[inverse], U64)
-            steps[0] = 1
-            self.tables[inverse] = np.multiply.accumulate(steps)
-        return self.tables[inverse][:n]
+        if len(self.tables[inverse]) >= n:
+            return self.tables[inverse][:n]
+        steps = np.full(-(-n >> 16) << 16, self.bases[inverse], U64)
+        steps[0] = 1
+        table = np.multiply.accumulate(steps)
+        if n <= self.KEPT:
+            self.tables[inverse] = table
+        return table[:n]
 
 
 _POWERS = _Powers(_MULTIPLIER)
@@ -166,8 +175,21 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
         end = min(max(end, begin + 1), len(texts))
         yield Chunk(begin, data[raw[begin] : raw[end]], raw[begin : end + 1] - raw[begin])
         begin = end
-    # what Arrow has freed goes back to the system: the executor's memory is shared by its workers
+    give_back()
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Returns what Arrow and NumPy have freed to the system: an executor's memory is shared by its
+    workers, and an idle worker would keep it."""
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def concat_columns(parts: list[dict[str, np.ndarray]], fields: list[pa.Field]) -> pa.StructArray:

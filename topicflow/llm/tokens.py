@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from .texts import Chunk, runs
 
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 250_000
 # last and first bytes of the white space characters beyond ASCII; a part is not cut behind them
 _WIDE_SPACE_ENDS = np.zeros(256, bool)
 _WIDE_SPACE_ENDS[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
