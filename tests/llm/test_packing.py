@@ -15,8 +15,7 @@ from topicflow.llm.tokens import Encoder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = Encoder(PATH)
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
-PIECES = ["a", "b'", "'s", "'re", " ", "  ", "\n", "\t", "\r\n", "é", " ", " ", "　", "\x1c", "\x85", "9", "!", "東", "<|endoftext|>"]
+PIECES = ["a", "b'", "'s", "'re", " ", "  ", "\n", "\t", "\r\n", "é", " ", " ", "　", "\x1c", "\x85", "9", "!", "東", "<|endoftext|>", "<|endof"]
 
 
 def plain_ids(text):

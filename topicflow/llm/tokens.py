@@ -8,6 +8,7 @@ before the first white space character of each run.  The parts repeat a lot: the
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -65,23 +66,29 @@ def part_starts(chunk: Chunk) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of the texts of a chunk, without special tokens: special strings are ordinary text.
+    """Ids of the texts of a chunk as the tokenizer file gives them, none added before or after a text.
 
-    Remembers the ids of at most ``CACHED_PARTS`` parts, as arrays sorted by the hash of the part.
+    A string that the file lists as an added token, such as ``<|endoftext|>``, is one id where a text
+    holds it, as for the tokenizer itself; texts are cut there first.  Remembers the ids of at most
+    ``CACHED_PARTS`` parts, as arrays sorted by the hash of the part.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            ranks = _ranks(json.load(file))
-        self.ranked = None
+            spec = json.load(file)
+        ranks = _ranks(spec)
+        self.ranked = self.tokenizer = None
         if ranks:
             self.ranked = tiktoken.Encoding(
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
             )
             self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
             self.token_bytes[list(ranks.values())] = [len(t) for t in ranks]
+        else:
+            self.tokenizer = Tokenizer.from_file(path)
+        self.added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])} if ranks else {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = re.compile(b"|".join(map(re.escape, longest_first))) if self.added else None
         self.keys = np.zeros(0, np.uint64)
         self.begins = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
@@ -127,6 +134,23 @@ class Encoder:
 
     def encode_chunk(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin: texts + 1 numbers."""
+        found = [] if self.added_pattern is None else [m.span() for m in self.added_pattern.finditer(chunk.data.tobytes())]
+        if found:
+            text = np.searchsorted(chunk.offsets, np.array(found) - [[0, 1]], "right")
+            found = [span for span, (a, b) in zip(found, text.tolist()) if a == b]  # not across two texts
+        if not found:
+            return self._encode_parts(chunk)
+        pieces = np.sort(np.concatenate([chunk.offsets, np.array(found).ravel()]))
+        ids, bounds = self._encode_parts(Chunk(chunk.first, chunk.data, pieces))
+        counts, own = np.diff(bounds), np.split(ids, bounds[1:-1])
+        for begin, end in found:
+            piece = int(np.searchsorted(pieces, begin, "right")) - 1
+            own[piece] = np.array([self.added[chunk.data[begin:end].tobytes()]], np.uint32)
+            counts[piece] = 1
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return np.concatenate(own), total[np.searchsorted(pieces, chunk.offsets)]
+
+    def _encode_parts(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         starts = part_starts(chunk)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(chunk.texts + 1, np.int64)
