@@ -29,13 +29,17 @@ FACTORS = 8
 # at most about this many labelled rows are learned from, chosen by hash
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-MIN_TEXTS = 5
-MIN_Z = 5.0
+# a term's input is its evidence against these: texts, and standard errors off the mean label share
+EVIDENCE_TEXTS = 4.0
+EVIDENCE_Z = 3.0
+LEAST_INPUT = 0.1
+PAIR_TEXTS = 5
+PAIR_Z = 5.0
 EPOCHS = 30
-BATCH = 256
+BATCH = 128
 PAIR_CELLS = 1 << 22  # read at a time when pairs of terms are counted
-RATE = 0.1
-DECAY = 1e-3
+RATE = 0.5
+DECAY = 1e-4
 SEED = 11
 
 _LETTER = np.zeros(256, bool)
@@ -130,12 +134,12 @@ def term_pairs(
     first, and how far off in log odds.
 
     A pair may have more marked texts than the larger share of its terms and the sum of their log odds
-    explain, or fewer than both explain; it must be as sure as one term at ``MIN_Z`` after allowing
+    explain, or fewer than both explain; it must be as sure as one term at ``PAIR_Z`` after allowing
     for the number of pairs.  Terms are passed over only if no pair of theirs can reach that.
     """
-    often = texts >= MIN_TEXTS
+    often = texts >= PAIR_TEXTS
     share = labels.mean()
-    least = MIN_Z**2 / 2 + np.log(max(1.0, often.sum() * (often.sum() - 1.0) / 2))
+    least = PAIR_Z**2 / 2 + np.log(max(1.0, often.sum() * (often.sum() - 1.0) / 2))
     clean = texts - marked
     own = np.divide(marked, texts, out=np.zeros(len(texts)), where=often)
     # marked texts that more than the mean takes at least; what clean texts of the term with the larger share can show
@@ -165,7 +169,7 @@ def term_pairs(
             both += np.bincount(cells[runs(bounds[part], counts[part])], minlength=len(names))
             part = part[labels[part] > 0]
             hits += np.bincount(cells[runs(bounds[part], counts[part])], np.repeat(labels[part], counts[part]), len(names))
-        b = np.flatnonzero(both >= MIN_TEXTS)
+        b = np.flatnonzero(both >= PAIR_TEXTS)
         b = b[b != a]
         n, m = both[b], np.minimum(hits[b], both[b])
         added, larger = _sigmoid(odds[a] + odds[b]), np.maximum(own[a], own[b])
@@ -181,7 +185,7 @@ def term_pairs(
     return one[order], other[order], gaps[order]
 
 
-def _begin(factors: np.ndarray, one: np.ndarray, other: np.ndarray, gaps: np.ndarray) -> None:
+def _begin(factors: np.ndarray, inputs: np.ndarray, one: np.ndarray, other: np.ndarray, gaps: np.ndarray) -> None:
     """Lets each term's factors begin where its surest pair has its gap: from factors near zero the
     few texts of a rare pair do not move them."""
     done = np.zeros(len(factors), bool)
@@ -190,16 +194,31 @@ def _begin(factors: np.ndarray, one: np.ndarray, other: np.ndarray, gaps: np.nda
             a, b = b, a
         if done[b]:
             continue
+        gap = gap / (inputs[a] * inputs[b])
         if not done[a]:
             factors[a] *= np.sqrt(abs(gap)) / np.linalg.norm(factors[a])
         factors[b] = factors[a] * (gap / np.square(factors[a]).sum())
         done[a] = done[b] = True
 
 
+def term_inputs(texts: np.ndarray, marked: np.ndarray, share: float) -> np.ndarray:
+    """What each term puts into the machine where it occurs, from 0 to 1.
+
+    It grows with the term's evidence: how many standard errors its share of label 1 is off the mean,
+    less for terms of few texts.  A weight on a small input is a weight under strong decay, so a rare word
+    cannot learn the labels of its texts by heart, and no term is cut off at a count.
+    """
+    z = (marked - texts * share) / np.sqrt(np.maximum(texts, 1) * share * (1 - share))
+    z = z * (texts / (texts + EVIDENCE_TEXTS))
+    return np.square(z) / (np.square(z) + EVIDENCE_Z**2)
+
+
 def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
-    """Mini-batch AdaGrad with decay, on the terms of at least ``MIN_TEXTS`` different texts whose
-    share of label 1, alone or in a pair (``term_pairs``), is more than ``MIN_Z`` standard errors
-    off what is expected: a rare word may otherwise learn the labels of its texts by heart."""
+    """Mini-batches with decay and one step size for all weights, which falls with the gradients seen.
+
+    Terms enter with their ``term_inputs``, those of sure pairs (``term_pairs``) in full.  An input below
+    ``LEAST_INPUT`` moves no score, as its weight is held back by the square of it, and is left out.
+    """
     if len(labels):
         term, bounds, labels = _distinct(term, bounds, labels)
     share = float(labels.mean()) if len(labels) else 0.0
@@ -210,17 +229,18 @@ def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> F
         return machine
     texts = np.bincount(term, minlength=COLUMNS)
     marked = np.bincount(term, np.repeat(labels, np.diff(bounds)), COLUMNS)
-    z = (marked - texts * share) / np.sqrt(np.maximum(texts, 1) * share * (1 - share))
-    single = np.flatnonzero((texts >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
+    inputs = term_inputs(texts, marked, share)
     one, other, gaps = term_pairs(term, bounds, labels, texts, marked)
-    machine.used = np.unique(np.concatenate([single, one, other]))
+    inputs[one] = inputs[other] = 1.0
+    machine.used = np.flatnonzero(inputs >= LEAST_INPUT)
     row, bounds = known_cells(machine.rows[term], bounds)
+    inputs = np.concatenate([[0.0], inputs[machine.used]])
     random = np.random.Generator(np.random.PCG64(SEED))
     weights = np.zeros(len(machine.used) + 1)
     factors = random.normal(0, 0.02, (len(weights), FACTORS))
-    _begin(factors, machine.rows[one], machine.rows[other], gaps)
-    bias, past_bias = machine.bias, 1e-4
-    past_weights, past_factors = np.full(len(weights), 1e-4), np.full(factors.shape, 1e-2)
+    factors[0] = 0
+    _begin(factors, inputs, machine.rows[one], machine.rows[other], gaps)
+    bias, past_weights, past_factors = machine.bias, 1e-3, 1e-3
     for _ in range(EPOCHS):
         order = random.permutation(len(labels))
         for begin in range(0, len(order), BATCH):
@@ -228,24 +248,24 @@ def train_machine(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> F
             counts = bounds[batch + 1] - bounds[batch]
             cells = row[runs(bounds[batch], counts)]
             owner = np.repeat(np.arange(len(batch)), counts)
-            values, sums = _sums(weights, factors, cells, np.concatenate([[0], np.cumsum(counts)]))
+            used, place = np.unique(cells, return_inverse=True)
+            x = inputs[used]
+            own = factors[used] * x[:, None]
+            values, sums = _sums(weights[used] * x, own, place, np.concatenate([[0], np.cumsum(counts)]))
             slope = (_sigmoid(bias + values) - labels[batch]) / len(batch)
-            past_bias += slope.sum() ** 2
-            bias -= RATE * slope.sum() / np.sqrt(past_bias)
+            bias -= RATE * 0.3 * slope.sum()
             if not len(cells):
                 continue
-            used, place = np.unique(cells, return_inverse=True)
-            step = np.bincount(place, slope[owner]) + DECAY * weights[used]
-            past_weights[used] += np.square(step)
-            weights[used] -= RATE * step / np.sqrt(past_weights[used])
-            pair = slope[owner, None] * (sums[owner] - factors[cells])
+            step = np.bincount(place, slope[owner]) * x + DECAY * weights[used]
+            past_weights += np.square(step).sum()
+            weights[used] -= RATE * step / np.sqrt(past_weights)
+            pair = slope[owner, None] * (sums[owner] - own[place])
             by_term = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[by_term], np.arange(len(used)))
-            step = np.add.reduceat(pair[by_term], cuts, axis=0) + DECAY * factors[used]
-            past_factors[used] += np.square(step)
-            factors[used] -= RATE * step / np.sqrt(past_factors[used])
-    factors[0] = 0
-    machine.bias, machine.weights, machine.factors = bias, weights, factors
+            step = np.add.reduceat(pair[by_term], cuts, axis=0) * x[:, None] + DECAY * factors[used]
+            past_factors += np.square(step).sum()
+            factors[used] -= RATE * step / np.sqrt(past_factors)
+    machine.bias, machine.weights, machine.factors = bias, weights * inputs, factors * inputs[:, None]
     return machine
 
 
