@@ -41,6 +41,10 @@ def test_fold_characters(spark):
     assert one(spark, "Äpfel, Щука, naïve, ß", X.fold_characters) == "Aepfel, Schuka, naive, ss"
     # a key of several characters never matches
     assert one(spark, "abc", lambda c: X.fold_characters(c, {"ab": "x", "c": "yz"})) == "abyz"
+    for text in ("axc", "axc\ue000\ue001"):
+        for mapping in ({"a": "bc", "c": "xy"}, {"x": "a", "a": "bb"}, {"x": "", "c": "\ue000z"}, {"\ue000": "c", "c": "dd"}):
+            expected = "".join(mapping.get(c, c) for c in text)
+            assert one(spark, text, lambda c: X.fold_characters(c, mapping)) == expected
 
 
 def test_wrap_and_capitalize(spark):

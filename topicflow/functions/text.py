@@ -122,15 +122,33 @@ def folding_table() -> dict[str, str]:
     return table
 
 
+# stand-ins for characters that become several, or none, until all are found
+_STAND_INS = range(0xE000, 0xF8FF)
+
+
 def fold_characters(col: Column, mapping: dict[str, str] | None = None) -> Column:
-    """Replace single characters by their folded form; unknown characters stay."""
+    """Replace single characters by their folded form; unknown characters stay.
+
+    Every character of the text is looked up once: what one becomes is not looked up again.  Keys of
+    several characters match nothing.
+    """
     mapping = folding_table() if mapping is None else mapping
-    singles = {k: v for k, v in mapping.items() if len(k) == 1 and len(v) == 1}
-    folded = F.translate(col, "".join(singles), "".join(singles.values()))
-    for source, target in mapping.items():
-        if len(source) == 1 and len(target) != 1:
-            folded = F.replace(folded, F.lit(source), F.lit(target))
-    return folded
+    singles = {k: v for k, v in mapping.items() if len(k) == 1}
+    if not singles:
+        return col
+    pairs = [F.lit(x) for kv in singles.items() for x in kv]
+    slow = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(F.create_map(*pairs), c), c)), "")
+    several = {k: v for k, v in singles.items() if len(v) != 1}
+    if len(several) > len(_STAND_INS):
+        return slow
+    stand_ins = {k: chr(mark) for k, mark in zip(several, _STAND_INS)}
+    folded = F.translate(col, "".join(singles), "".join(stand_ins.get(k, v) for k, v in singles.items()))
+    for source, mark in stand_ins.items():
+        folded = F.replace(folded, F.lit(mark), F.lit(several[source]))
+    # a text or a target with a stand-in of its own goes character by character
+    if any(chr(_STAND_INS[0]) <= c <= chr(_STAND_INS[-1]) for kv in singles.items() for x in kv for c in x):
+        return slow
+    return F.when(col.rlike("[\ue000-\uf8ff]"), slow).otherwise(folded)
 
 
 def format_time(col: Column) -> Column:
