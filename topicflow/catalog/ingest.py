@@ -34,6 +34,19 @@ def fresh_articles(spark, sf):
     return fresh_since(articles(spark, sf), "2024-01-01 02:00:00").select("url", "parse_datetime")
 
 
+@query(
+    "fresh_of_the_store",
+    f"WITH {ARTICLES} SELECT url, parse_datetime FROM articles "
+    "WHERE CAST(parse_datetime AS TIMESTAMP) >= TIMESTAMP '2024-01-03 02:00:00'",
+)
+def fresh_of_the_store(spark, sf):
+    path = new_path(spark, "articles")
+    store.ensure_table(spark, path, store.ARTICLES)
+    store.append_articles(articles(spark, sf), path)
+    since = "2024-01-03 02:00:00"
+    return fresh_since(store.read_articles(spark, path, since), since).select("url", "parse_datetime")
+
+
 @query(
     "flatten_batches",
     r"""SELECT url, line FROM (

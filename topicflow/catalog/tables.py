@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCAModel
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_array
 from ..operators.dedup import fetch_stats, new_urls
 from ..operators.groups import default_topic_names
-from ..operators.topics import fit_latent
 from ..session import new_path
 from ..sources import store
-from ..sources.pages import ENTITIES, discover_urls, extract_articles, site_of
+from ..sources.pages import ENTITIES, discover_urls, extract_articles, link_frontier, site_of
 from .base import (
     ARTICLES,
     TOPIC_LABELS,
@@ -116,7 +115,7 @@ def stage_table(spark, sf):
 def stage_model(spark, sf):
     path = new_path(spark, "model")
     rows = embeddings(spark, sf)
-    store.save_stage(fit_latent(rows, 8), path)
+    store.save_stage(PCA(k=8, inputCol="features", outputCol="latent").fit(rows), path)
     latent = store.load_stage(spark, path, PCAModel).transform(rows)
     return latent.select("vec_id", as_array(F.col("latent")).alias("latent"))
 
@@ -183,6 +182,23 @@ def discovered_urls(spark, sf):
     return discover_urls(pages(spark, sf))
 
 
+FRONTIER = rf"""WITH RECURSIVE page_links AS (
+    SELECT DISTINCT page, url FROM (
+        SELECT url AS page, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href AS url
+        FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages)
+        WHERE href LIKE '/%') WHERE {IS_PAGE}),
+reached(url, depth) AS (
+    SELECT url, 0 FROM pages WHERE page_id % 3 > 0
+    UNION SELECT l.url, depth + 1 FROM reached r JOIN page_links l ON l.page = r.url WHERE depth < 3)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth, url IN (SELECT url FROM pages) AS stored FROM reached GROUP BY url"""
+
+
+@query("link_frontier", FRONTIER)
+def frontier(spark, sf):
+    starts = table(spark, sf, "pages").where("page_id % 3 > 0").select("url")
+    return link_frontier(pages(spark, sf), starts)
+
+
 def _candidates(spark, sf):
     rows = pages(spark, sf)
     return discover_urls(rows).unionByName(rows.select(site_of(F.col("url")).alias("site"), "url"))
