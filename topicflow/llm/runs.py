@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import column, small_batches
-from .texts import CHUNK_BYTES, U64, Chunk, RollingHash, chunks, mix, runs
+from .texts import U64, Chunk, RollingHash, chunks, mix, runs
 
 KEYS_PER_PART = 100_000
 PARTS_PER_TASK = 4
@@ -32,6 +32,9 @@ _RUN_NAMES = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
 PLACES_SCHEMA = "id long, hash long, places array<int>"
 TEXT_KEYS = ["id", "hash"]
 
+# a key leaves each chunk once, so larger chunks send fewer rows
+CHUNK_BYTES = 2 << 20
+
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, text): the key of a text as described above; null texts are empty."""
