@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from topicflow.functions.vectors import as_vector, topk_renormalize
 from topicflow.operators import distances as D
 from topicflow.operators import groups as G
+from topicflow.operators import label_sets as L
 from topicflow.operators import merge as M
 
 
@@ -47,6 +48,47 @@ def test_closure_of_a_long_chain(spark):
     assert {r.new_label for r in M.merge_labels(labels, pairs, "closure").collect()} == {0}
 
 
+def moves(spark, pairs):
+    frame = spark.createDataFrame(pairs, "a int, b int")
+    return sorted(tuple(r) for r in L.overlap_mapping(frame).collect())
+
+
+def slow_moves(pairs):
+    return sorted((m, min(g)) for g in M.overlapping_groups(pairs) for m in g)
+
+
+def random_pairs(labels, n, seed):
+    random = np.random.RandomState(seed)
+    return [(int(a), int(b)) for a, b in random.randint(0, labels, (n, 2)) if a != b]
+
+
+@pytest.mark.parametrize(
+    "pairs",
+    [
+        [],
+        [(1, 1)],
+        both_ways([(1, 2), (2, 3), (3, 4)]),
+        # a shrunk set of five, contained in another set of three
+        [(1, 2), (1, 3), (1, 4), (1, 5), (3, 4), (3, 5), (8, 1), (8, 2), (1, 2)],
+        # one label close to all others
+        both_ways([(0, i) for i in range(1, 30)]),
+        both_ways(random_pairs(14, 14, 1)),
+        random_pairs(12, 30, 2),
+    ],
+)
+def test_overlap_on_joins_equals_the_slow_rule(spark, pairs):
+    assert moves(spark, pairs) == slow_moves(pairs)
+
+
+def test_overlap_on_joins_of_2000_labels(spark):
+    pairs = both_ways(random_pairs(2000, 1200, 3))
+    assert moves(spark, pairs) == slow_moves(pairs)
+
+
+def test_overlap_leaves_out_null_labels(spark):
+    assert moves(spark, [(1, 2), (None, 2), (2, None), (1, 2), (2, 1)]) == [(1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize(
     "values",
     [

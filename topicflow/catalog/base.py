@@ -192,3 +192,36 @@ def closure_sql(labels: str, pairs: str) -> str:
     SELECT e.a, r.seen FROM reach r JOIN (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}) e ON e.b = r.label),
 targets AS (SELECT label, min(seen) AS target FROM reach GROUP BY label),
 mapping AS (SELECT label, CAST(dense_rank() OVER (ORDER BY target) - 1 AS INTEGER) AS new_label FROM targets)"""
+
+
+def overlap_sql(labels: str, pairs: str) -> str:
+    """CTEs: groups of the overlap rule on lists of labels, smallest label each, numbered from 0."""
+    return f"""neighbours AS (SELECT a, list_sort(list_distinct(list(b) || [a])) AS s FROM {pairs} GROUP BY a),
+unique_sets AS (SELECT s, min(a) AS a FROM neighbours GROUP BY s),
+reduced(step, sets, sizes) AS (
+    SELECT 1, list(s ORDER BY len(s) DESC, a), list_reverse_sort(list_distinct(list(len(s)))) FROM unique_sets
+    UNION ALL
+    SELECT step + 1, list_transform(sets, lambda x: CASE WHEN len(x) = sizes[step]
+        THEN list_filter(x, lambda l: NOT list_contains(gone, l)) ELSE x END), sizes
+    FROM (SELECT *, flatten(list_filter(sets, lambda y: len(y) > 1 AND len(y) < sizes[step] AND list_contains(sizes, len(y))
+            AND len(list_filter(sets, lambda z: len(z) = sizes[step] AND list_has_all(z, y))) > 0)) AS gone
+        FROM reduced WHERE step < len(sizes))),
+last_sets AS (SELECT unnest(sets) AS s, generate_subscripts(sets, 1) AS place
+    FROM (SELECT sets FROM reduced ORDER BY step DESC LIMIT 1)),
+ranked_sets AS (SELECT s, row_number() OVER (ORDER BY min(place)) AS i FROM last_sets WHERE len(s) > 1 GROUP BY s),
+growth(i, upto, g) AS (
+    SELECT i, i, s FROM ranked_sets
+    UNION ALL
+    SELECT w.i, n.i, CASE WHEN list_has_any(w.g, n.s) THEN list_distinct(w.g || n.s) ELSE w.g END
+    FROM growth w JOIN ranked_sets n ON n.i = w.upto + 1),
+grown_sets AS (SELECT i, g FROM growth WHERE upto = (SELECT max(i) FROM ranked_sets)),
+kept_sets(i, taken, kept) AS (
+    SELECT 1, g, [g] FROM grown_sets WHERE i = 1
+    UNION ALL
+    SELECT k.i + 1, CASE WHEN list_has_any(taken, g) THEN taken ELSE taken || g END,
+        CASE WHEN list_has_any(taken, g) THEN kept ELSE kept || [g] END
+    FROM kept_sets k JOIN grown_sets n ON n.i = k.i + 1),
+final_sets AS (SELECT unnest(kept) AS g FROM (SELECT kept FROM kept_sets ORDER BY i DESC LIMIT 1)),
+members AS (SELECT unnest(g) AS label, list_min(g) AS target FROM final_sets),
+targets AS (SELECT DISTINCT l.label, coalesce(m.target, l.label) AS target FROM {labels} l LEFT JOIN members m ON m.label = l.label),
+mapping AS (SELECT label, CAST(dense_rank() OVER (ORDER BY target) - 1 AS INTEGER) AS new_label FROM targets)"""

@@ -23,6 +23,7 @@ from .base import (
     bins_sql,
     closure_sql,
     embeddings,
+    overlap_sql,
     query,
     table,
     topic_labels,
@@ -145,17 +146,18 @@ def nearest_big_cluster(spark, sf):
     return D.nearest_big_cluster(sizes, _distances(spark, sf), threshold)
 
 
-MERGED_BY_DISTANCE = f"""WITH RECURSIVE {DISTANCES}, {SIZES}, {bins_sql('d', 'distances', 'dist')},
-pairs AS (SELECT a, b FROM distances, d_gap WHERE dist <= threshold), {closure_sql('sizes', 'pairs')}
+def _merged_by_distance(groups: str) -> str:
+    return f"""WITH RECURSIVE {DISTANCES}, {SIZES}, {bins_sql('d', 'distances', 'dist')},
+pairs AS (SELECT a, b FROM distances, d_gap WHERE dist <= threshold), {groups}
 SELECT vec_id, new_label AS label FROM embeddings JOIN mapping USING (label)"""
 
 
-@query("merge_by_distance_closure", MERGED_BY_DISTANCE)
+@query("merge_by_distance_closure", _merged_by_distance(closure_sql("sizes", "pairs")))
 def merge_by_distance_closure(spark, sf):
     return M.merge_by_distance(embeddings(spark, sf), rule="closure").select("vec_id", "label")
 
 
-@query("merge_by_distance")
+@query("merge_by_distance", _merged_by_distance(overlap_sql("sizes", "pairs")))
 def merge_by_distance(spark, sf):
     return M.merge_by_distance(embeddings(spark, sf)).select("vec_id", "label")
 
@@ -181,7 +183,10 @@ def merge_labels_closure(spark, sf):
     return M.merge_labels(embeddings(spark, sf).select("label"), pairs, "closure")
 
 
-@query("merge_labels_overlap")
+@query(
+    "merge_labels_overlap",
+    f"WITH RECURSIVE {DISTANCES}, {SIZES}, {MERGE_PAIRS}, {overlap_sql('sizes', 'pairs')} SELECT label, new_label FROM mapping",
+)
 def merge_labels_overlap(spark, sf):
     pairs = D.close_pairs(_distances(spark, sf), 0.85)
     return M.merge_labels(embeddings(spark, sf).select("label"), pairs, "overlap")

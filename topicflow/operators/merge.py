@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
 from .distances import close_pairs, nearest_big_cluster, pairwise_distances
 from .groups import centroids, dense_codes, largest_gap_threshold, quantile_bins, relabel
+from .label_sets import closure_mapping, overlap_mapping
 from .placement import settle
 
 Labels = frozenset
@@ -33,7 +32,8 @@ def _drop_contained(sets: list[Labels]) -> list[Labels]:
 
 
 def overlapping_groups(pairs: Iterable[tuple[int, int]]) -> list[Labels]:
-    """Disjoint groups of labels from neighbour pairs (label, neighbour).
+    """Disjoint groups of labels from neighbour pairs (label, neighbour), for the few labels of a topic node;
+    ``label_sets.overlap_mapping`` does the same as joins.
 
     Not a transitive closure: each remaining set grows once over the sets after it, and a
     group that shares a label with an earlier group is discarded.
@@ -53,58 +53,12 @@ def overlapping_groups(pairs: Iterable[tuple[int, int]]) -> list[Labels]:
     return groups
 
 
-def _overlap_mapping(pairs: DataFrame) -> DataFrame:
-    """(label, target) for labels that change.
-
-    Sets interact only if they share labels, directly or over others, so each connected group
-    of labels is decided on its own, in a task.
-    """
-    label = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("label", label), T.StructField("target", label)])
-    roots = _closure_mapping(pairs).withColumnRenamed("label", "a")
-
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        groups = overlapping_groups(zip(frame["a"].tolist(), frame["b"].tolist()))
-        moves = [(member, min(g)) for g in groups for member in sorted(g)]
-        return pd.DataFrame(moves, columns=["label", "target"])
-
-    return pairs.select("a", "b").join(roots, "a").groupBy("target").applyInPandas(lambda f: decide(f), schema)
-
-
-def _closure_mapping(pairs: DataFrame) -> DataFrame:
-    """(label, target): smallest label reachable over pairs, by repeated minimum over neighbours.
-
-    Each round also jumps to the target of the target, so few rounds are needed; every round
-    is written as a stage table.
-    """
-    edges = materialize(
-        pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        name="edges",
-    )
-    targets = edges.select(F.col("a").alias("label")).distinct().withColumn("target", F.col("label"))
-    while True:
-        near = (
-            edges.join(targets.withColumnRenamed("label", "b"), "b")
-            .groupBy(F.col("a").alias("label"))
-            .agg(F.min("target").alias("near"))
-        )
-        stepped = targets.join(near, "label").select("label", "target", F.least("target", "near").alias("next"))
-        jump = stepped.select(F.col("label").alias("next"), F.col("next").alias("jumped"))
-        moved = materialize(
-            stepped.join(jump, "next").select("label", F.col("target").alias("old"), F.col("jumped").alias("target")),
-            name="targets",
-        )
-        targets = moved.select("label", "target")
-        if moved.where("old <> target").isEmpty():
-            return targets
-
-
 def merge_labels(labels: DataFrame, pairs: DataFrame, rule: str = "overlap") -> DataFrame:
     """(label, new_label): labels grouped by close pairs, smallest label each, made dense from 0.
 
     ``labels`` holds every label in column ``label``; ``pairs`` holds (a, b).
     """
-    mapping = _overlap_mapping(pairs) if rule == "overlap" else _closure_mapping(pairs)
+    mapping = overlap_mapping(pairs) if rule == "overlap" else closure_mapping(pairs)
     merged = labels.select("label").distinct().join(mapping, "label", "left")
     merged = merged.withColumn("target", F.coalesce("target", "label"))
     codes = dense_codes(merged, "target")
