@@ -16,6 +16,7 @@ from ..operators.lang import SLOTS, SMOOTHING, detect_language, fit_language_pro
 from ..plans.ingest import ingest, ingest_sites
 from ..session import new_path, spread_scan
 from ..sources import store
+from ..sources.known_urls import KnownUrls
 from ..sources.pages import site_of
 from ..streaming.ingest import ingest_stream
 from .base import ARTICLES, LANGUAGES, articles, pages, query, table
@@ -196,6 +197,15 @@ def ingested(spark, sf):
     return _stored(spark, paths)
 
 
+@query("ingest_known_urls", INGESTED)
+def ingested_with_index(spark, sf):
+    paths = _store(spark)
+    known = KnownUrls(spark, new_path(spark, "known"), 8)
+    for _ in range(2):
+        ingest(pages(spark, sf), *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00"), known)
+    return _stored(spark, paths)
+
+
 @query(
     "ingest_sites",
     f"""{INGESTED.replace('WITH ', f'WITH {LINKS}, ', 1)}

@@ -10,6 +10,7 @@ from ..operators.dedup import fetch_stats, new_urls
 from ..operators.groups import default_topic_names
 from ..session import new_path
 from ..sources import store
+from ..sources.known_urls import KnownUrls
 from ..sources.pages import ENTITIES, discover_urls, extract_articles, link_frontier, site_of
 from .base import (
     ARTICLES,
@@ -212,6 +213,16 @@ def new_urls_of_links(spark, sf):
     return new_urls(_candidates(spark, sf), pages(spark, sf))
 
 
+@query(
+    "known_urls",
+    f"WITH {LINKS} SELECT site, url FROM candidates WHERE url NOT IN (SELECT url FROM pages)",
+)
+def unknown_links(spark, sf):
+    known = KnownUrls(spark, new_path(spark, "known"), 8)
+    known.add(pages(spark, sf))
+    return known.unknown(_candidates(spark, sf))
+
+
 @query(
     "fetch_stats",
     f"""WITH {LINKS}, known AS (SELECT DISTINCT url, 1 AS k FROM pages)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import as_array, l2_normalize
-from ..operators import terms
+from ..operators import lemmas, terms
+from ..operators import sentence_ends as E
+from ..operators.lemmas import NOUN_RULES
 from ..operators.word_vectors import word_associations
 from ..session import materialize
 from .base import (
@@ -25,6 +27,7 @@ from .base import (
     hash_vector,
     lead_sql,
     query,
+    strip_sql,
     table,
     word_vectors,
 )
@@ -129,6 +132,45 @@ def first_sentences(spark, sf):
     return articles(spark, sf).select("url", X.first_sentences(F.col("content")).alias("lead"))
 
 
+# words with their counts before a full stop and elsewhere, scored by log-likelihood ratio
+_OPENING, _WORD, _CLOSING = "[\"''(\\[]*", r"\p{L}(?:[\p{L}.]*\p{L})?", "[,;:!?\"'')\\]]*"
+ABBREVIATIONS = rf"""stop_tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents),
+stop_words AS (SELECT regexp_extract(token, '^{_OPENING}({_WORD})[.]?{_CLOSING}$', 1) AS word,
+    regexp_matches(token, '^{_OPENING}{_WORD}[.]{_CLOSING}$') AS dot FROM stop_tokens),
+stop_counts AS (SELECT word, count(*) FILTER (dot) AS dotted, count(*) FILTER (NOT dot) AS plain
+    FROM stop_words WHERE word <> '' GROUP BY word),
+stop_total AS (SELECT sum(dotted) AS d, sum(dotted + plain) AS n FROM stop_counts),
+stop_scores AS (SELECT word, dotted, plain, length(replace(word, '.', '')) AS letters,
+    -2 * (dotted * ln(d / n) + CASE WHEN plain > 0 THEN plain * ln(1 - d / n) ELSE 0 END
+        - dotted * ln(0.99) - plain * ln(0.01)) AS ratio FROM stop_counts, stop_total WHERE dotted > 0),
+abbreviations AS (SELECT * FROM (SELECT word, dotted, plain,
+    ratio * exp(-letters) * (length(word) - letters + 1) * pow(letters, -plain) AS score FROM stop_scores) WHERE score >= 0.3)"""
+
+
+@query("abbreviations", f"WITH {ABBREVIATIONS} SELECT word, dotted, plain, round(score, 6) AS score FROM abbreviations")
+def abbreviations(spark, sf):
+    return E.abbreviations(articles(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "learned_sentences",
+    rf"""WITH {ABBREVIATIONS}, marked AS (
+        SELECT doc_id, string_split(regexp_replace({strip_sql('text')}, '([.!?]+["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)) AS p
+        FROM documents),
+    pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM marked),
+    ended AS (SELECT doc_id, piece, i, regexp_extract(lower(piece), '(?:^|\s){_OPENING}({_WORD})[.]$', 1)
+        IN (SELECT word FROM abbreviations) AS inside FROM pieces),
+    numbered AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ended)
+    SELECT {DOC}, CAST(coalesce(before, 0) AS INTEGER) AS pos, string_agg(piece, ' ' ORDER BY i) AS sentence
+    FROM numbered GROUP BY doc_id, coalesce(before, 0)""",
+)
+def learned_sentences(spark, sf):
+    rows = articles(spark, sf)
+    known = materialize(E.abbreviations(rows).select("word"), name="abbreviations")
+    return E.learned_sentences(rows, known).select("url", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 def _fold_sql(x: str) -> str:
     mapping = X.folding_table()
     singles = {k: v for k, v in mapping.items() if len(v) == 1}
@@ -184,6 +226,23 @@ def lemmatize(spark, sf):
     return terms.lemmatize(tokens, plural_lemmas(spark, sf), ("url", "pos"))
 
 
+@query(
+    "lemma_dictionary",
+    f"""WITH forms AS (SELECT DISTINCT form FROM (
+        SELECT unnest(string_split({clean_sql('text')}, ' ')) AS form FROM documents) WHERE form <> ''),
+    rules AS (SELECT * FROM (VALUES (0, '', ''), {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NOUN_RULES, 1))}) r(rule, ending, stem)),
+    candidates AS (SELECT f.form, rule, left(f.form, length(f.form) - length(ending)) || stem AS word
+        FROM forms f JOIN rules ON suffix(f.form, ending)),
+    best AS (SELECT c.form, arg_min(word, (length(word), rule)) AS lemma
+        FROM candidates c JOIN forms v ON v.form = c.word GROUP BY c.form)
+    SELECT form, lemma FROM best WHERE lemma <> form""",
+)
+def lemma_dictionary(spark, sf):
+    words = articles(spark, sf).select(F.explode(X.tokenize(X.clean_text(F.col("content")))).alias("form"))
+    words = materialize(words.distinct(), name="words")
+    return lemmas.lemma_dictionary(words, words.withColumnRenamed("form", "word"))
+
+
 @query("term_counts", f"WITH {TF} SELECT url, token, tf FROM tf")
 def term_counts(spark, sf):
     return terms.term_counts(cleaned(spark, sf))
