@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import by_id
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from topicflow.llm.components import components
 from topicflow.llm.lm_scoring import cross_entropy_difference
 from topicflow.llm.minhash import drop_near_duplicates, near_duplicates
 from topicflow.llm.suffix_dedup import drop_repeated_bytes, front_code, front_decode, merge_runs, remove_repeated_bytes
+from topicflow.llm.texts import chunks
 from topicflow.llm.vector_join import link_vectors
 from topicflow.llm.window_dedup import remove_repeated_windows
 
@@ -94,6 +96,28 @@ def test_scores_equal_brute_force(documents, spark):
         assert got[k][1:] == (None, None) if near is None else np.allclose(got[k][1:], (near, far), rtol=1e-9)
 
 
+def test_second_words_that_share_the_first_bits_of_their_hash(spark):
+    vocabulary = pa.array([" ".join(f"v{i}" for i in range(20_000))], pa.string())
+    (chunk,) = chunks(vocabulary)
+    heads = chunk.word_hashes >> np.uint64(40)
+    order = np.argsort(heads, kind="stable")
+    at = int(np.flatnonzero(np.diff(heads[order]) == 0)[0])
+    one, two = (f"v{i}" for i in order[at : at + 2])
+    rng = random.Random(5)
+    # long enough that the rare first word is not among the hot ones
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(1500))) for i in range(30)]
+    rows += [(100, f"seldom {one}"), (101, f"seldom {one}"), (102, f"seldom {two}")]
+    target = [f"seldom {two}", "w1 w2"]
+    got = by_id(
+        cross_entropy_difference(
+            spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")
+        ),
+        "doc_id", "n_tokens", "target_loss", "background_loss",
+    )
+    want = brute.cross_entropy(rows, target)
+    assert all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(60)]

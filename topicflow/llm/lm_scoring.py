@@ -12,6 +12,10 @@ added up and each text gets its share of the losses back.  First words that make
 1 / ``HOT_SHARE`` of all bigrams are fewer than that; their totals are broadcast and their bigrams
 spread by both words.
 
+Words are told apart by 64 bits of hash, bigrams of a hot first word by 64 bits of both words, second
+words behind another first word by 48 bits: behind one first word with a million different followers
+two share them with a probability of 0.002.
+
 Texts without words and nulls have no tokens and null losses and scores.  Rows that repeat an id
 and its text are counted as often as they occur and get one score.  Without target words all target
 probabilities are 1 / V, and an empty table gives an empty result.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .frames import require
-from .runs import LAST_ID, RUN_SCHEMA, TEXT_KEYS, _entries, by_part, keyed_texts, parts_for, run_rows
+from .runs import LAST_ID, TEXT_KEYS, by_part, keyed_texts, part_of, parts_for, squeeze, widen
 from .texts import U64, Chunk, chunks, mix
 
 PRIOR = 10.0
@@ -38,6 +42,13 @@ HELD_WORDS = 250_000
 CHUNK_BYTES = 1 << 20
 HELD_SUMS = 400_000
 START = U64(0x5354415254)
+# of the second word's hash, behind a first word's whole hash
+TAIL_BITS = 48
+BIGRAM_SCHEMA = (
+    "part integer, n integer, n_keys integer, ids binary, hashes binary, keys binary, lengths binary, tails binary, "
+    "times binary, text binary, place binary"
+)
+_BIGRAM_NAMES = [f.split()[0] for f in BIGRAM_SCHEMA.split(", ")]
 
 
 def _bigrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +61,61 @@ def _bigrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, words, np.repeat(np.arange(chunk.texts), np.diff(bounds))
 
 
+def _bigram_rows(
+    parts: int,
+    ids: np.ndarray,
+    hashes: np.ndarray,
+    key: np.ndarray,
+    tail: np.ndarray,
+    text: np.ndarray,
+    place: np.ndarray,
+    times: np.ndarray,
+) -> pa.RecordBatch:
+    """One row per part from bigrams in ascending order of key.  A key goes once, with the number of its
+    bigrams; tails go with the bigrams whose key does not name the second word (place 0 and 1)."""
+    part = part_of(key, parts)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    rows: list[list] = [[] for _ in _BIGRAM_NAMES]
+    for a, b in zip([0, *cuts], [*cuts, len(key)]):
+        used, own = np.unique(text[a:b], return_inverse=True)
+        starts = np.flatnonzero(np.append(True, key[a + 1 : b] != key[a : b - 1]))
+        values = [
+            int(part[a]),
+            b - a,
+            len(starts),
+            ids[used].tobytes(),
+            hashes[used].tobytes(),
+            squeeze(np.diff(key[a:b][starts], prepend=U64(0))),
+            squeeze(np.diff(np.append(starts, b - a))),
+            squeeze(tail[a:b][place[a:b] < 2]),
+            squeeze(times[a:b]),
+            squeeze(own),
+            squeeze(place[a:b]),
+        ]
+        for column_, value in zip(rows, values):
+            column_.append(value)
+    types = [*[pa.int32()] * 3, *[pa.binary()] * 8]
+    return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], _BIGRAM_NAMES)
+
+
+def _bigram_entries(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "hash", "key", "tail", "times", "place")}
+    for batch in held:
+        for row in batch.to_pylist():
+            n, n_keys = row["n"], row["n_keys"]
+            text, place = widen(row["text"], n).astype(np.int64), widen(row["place"], n).astype(np.int64)
+            tail = np.zeros(n, U64)
+            named = place < 2
+            tail[named] = widen(row["tails"], int(named.sum()))
+            found["id"].append(np.frombuffer(row["ids"], np.int64)[text])
+            found["hash"].append(np.frombuffer(row["hashes"], np.int64)[text])
+            found["key"].append(np.repeat(np.cumsum(widen(row["keys"], n_keys)), widen(row["lengths"], n_keys).astype(np.int64)))
+            found["tail"].append(tail)
+            found["times"].append(widen(row["times"], n).astype(np.uint32))
+            found["place"].append(place)
+    return {k: np.concatenate(v) for k, v in found.items()}
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, hash, text, target) to (word, as_first, background, target) counts, added up within a task."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -116,9 +182,9 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
                 is_hot = np.zeros(len(first), bool)
                 if len(heads):
                     is_hot = heads[np.minimum(at, len(heads) - 1)] == first
-                # the key of a hot word's bigram names both words; others tell second words by 24 bits
+                # the key of a hot word's bigram names both words, that of the others the first
                 key = np.where(is_hot, mix(first ^ mix(second)), first)
-                tail = np.where(is_hot, U64(0), second >> U64(40)).astype(np.uint32)
+                tail = np.where(is_hot, U64(0), second >> U64(64 - TAIL_BITS))
                 place = np.where(is_hot, 2 * at + 2, 0) + flags[chunk.first + text]
                 order = np.lexsort((text, tail, key))
                 key, tail, text, place = key[order], tail[order], text[order], place[order]
@@ -126,21 +192,19 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
                 new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1]) | (text[1:] != text[:-1])
                 times = np.diff(np.append(np.flatnonzero(new), len(key)))
                 mine = slice(chunk.first, chunk.first + chunk.texts)
-                yield run_rows(
-                    parts, all_ids[mine], all_hashes[mine], key[new], text[new], place[new], tail[new], times.astype(np.uint32)
-                )
+                yield _bigram_rows(parts, all_ids[mine], all_hashes[mine], key[new], tail[new], text[new], place[new], times)
 
     def losses(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Marks of the background entries, and for these the losses times their occurrences."""
-        order = np.lexsort((e["after"], e["key"]))
+        order = np.lexsort((e["tail"], e["key"]))
         for name in e:
             e[name] = e[name][order]
-        times = e["before"].astype(np.float64)
+        times = e["times"].astype(np.float64)
         target = (e["place"] & 1).astype(bool)
         new_first = np.ones(len(order), bool)
         new_first[1:] = (e["key"][1:] != e["key"][:-1]) | (e["place"][1:] // 2 != e["place"][:-1] // 2)
         new_pair = new_first.copy()
-        new_pair[1:] |= e["after"][1:] != e["after"][:-1]
+        new_pair[1:] |= e["tail"][1:] != e["tail"][:-1]
         pair, first = np.cumsum(new_pair) - 1, np.cumsum(new_first) - 1
 
         def counts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +234,9 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
         names = ["id", "hash", "n_tokens", "target_loss", "background_loss"]
         held: list[list[np.ndarray]] = []
         for rows in by_part(batches):
-            entries = _entries(rows)
+            entries = _bigram_entries(rows)
             own, target_loss, background_loss = losses(entries)
-            times = entries["before"][own].astype(np.int64)
+            times = entries["times"][own].astype(np.int64)
             held = [added([*held, [entries["id"][own], entries["hash"][own], times, target_loss, background_loss]])]
             if len(held[0][0]) > HELD_SUMS:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
@@ -183,7 +247,7 @@ def score_texts(corpus: DataFrame, prior: float = PRIOR) -> DataFrame:
     # as many tasks as the cluster's cores can use, whatever the data: each reads its parts one by one
     # and sends on one sum per text
     tasks = min(parts, 4 * context.defaultParallelism)
-    placed = corpus.mapInArrow(send, RUN_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
+    placed = corpus.mapInArrow(send, BIGRAM_SCHEMA).repartition(tasks, "part").sortWithinPartitions("part")
     sums = placed.mapInArrow(receive, "id long, hash long, n_tokens long, target_loss double, background_loss double")
     return sums.groupBy(*TEXT_KEYS).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "target_loss", "background_loss")])
 
