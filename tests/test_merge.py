@@ -154,6 +154,13 @@ def test_topk_ties_take_the_lower_index(spark):
     assert rows[0] == [0.5, 0.5, 0.0, 0.0] and np.allclose(rows[1], [0, 2 / 3, 1 / 3, 0])
 
 
+def test_lowest_rows_of_columns():
+    ranks = np.round(np.random.RandomState(4).randn(300, 7), 1)
+    ranks[5, 0] = ranks[9, 1] = np.nan
+    for k in (1, 4, 299, 300, 400):
+        assert (D._lowest(ranks, k) == np.argsort(ranks, axis=0, kind="stable")[:k]).all()
+
+
 def test_top_words_over_many_batches(spark):
     random = np.random.RandomState(3)
     words = [(f"w{i}", [float(x) for x in random.randn(6)]) for i in range(400)]

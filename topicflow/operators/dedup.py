@@ -29,26 +29,22 @@ def drop_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_all_duplicates(df: DataFrame, key: str = "url", scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows whose text occurs once, urls of all copies of repeated texts).
 
-    One aggregation by hash, combined before the shuffle, so copies never meet in one task:
-    the row of a hash that counts one is kept.  Rejected urls come from the hashes that count
-    more, staged as a narrow table, and from rows without the text; the join may split a hash
-    under which very many rows fall.
+    Hashes are counted alone, combined before the shuffle, so copies never meet in one task.  Those
+    that count more than one are staged as a narrow table; rows are dropped by a join with it, so texts
+    are moved only where too many are repeated for a broadcast, and that join may split a hash under
+    which very many rows fall.
 
     ``scope``, rows with a column ``content`` (such as the article store), widens the count
     from this run to all texts: what repeats a text of the scope is rejected, too.
     """
-    hashed = df.select(content_hash(F.col("content")).alias("_h"), F.struct(*df.columns).alias("_row"))
-    counted = hashed.groupBy("_h").agg(F.count("*").alias("_n"), F.any_value("_row").alias("_row"))
     narrow = df.select(key, content_hash(F.col("content")).alias("_h"))
     repeated = narrow.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
-    once = counted.where("_n = 1")
     if scope is not None:
         stored = materialize(scope.select(content_hash(F.col("content")).alias("_h")).distinct(), name="stored")
         repeated = repeated.unionByName(stored).distinct()
-        once = once.join(stored, "_h", "left_anti")
     repeated = materialize(repeated, name="repeated")
-    rejected = narrow.join(repeated, "_h", "left_semi")
-    return once.select("_row.*"), rejected.select(key)
+    once = df.withColumn("_h", content_hash(F.col("content"))).join(repeated, "_h", "left_anti")
+    return once.select(df.columns), narrow.join(repeated, "_h", "left_semi").select(key)
 
 
 def distinct_texts(df: DataFrame, ordered: bool = True) -> DataFrame:

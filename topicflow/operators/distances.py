@@ -57,6 +57,21 @@ def nearest_big_cluster(
     return candidates.groupBy("a").agg(F.min(F.struct("dist", "b"))["b"].alias("b"))
 
 
+def _lowest(ranks: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the ``k`` lowest numbers of each column, in order, the earlier row on a tie; NaN comes last.
+
+    A column is split at its k-th number, and only what is not above that is sorted.
+    """
+    ranks = np.where(np.isnan(ranks), np.inf, ranks)
+    n = min(k, len(ranks))
+    bounds = np.partition(ranks, n - 1, axis=0)[n - 1]
+    best = np.empty((n, ranks.shape[1]), np.int64)
+    for column, bound in enumerate(bounds):
+        near = np.flatnonzero(ranks[:, column] <= bound)
+        best[:, column] = near[np.argsort(ranks[near, column], kind="stable")[:n]]
+    return best
+
+
 def top_words(centroids: DataFrame, word_vectors: DataFrame, k: int = 5, label: str = "label") -> DataFrame:
     """(label, rn, word, similarity): the k words with the highest cosine to each centroid.
 
@@ -86,7 +101,7 @@ def top_words(centroids: DataFrame, word_vectors: DataFrame, k: int = 5, label:
             lengths = np.linalg.norm(vectors, axis=1)
             cosines = (vectors @ matrix.T) / np.where(lengths > 0, lengths, 1.0)[:, None]
             # highest cosine first, then the word, as in the final ranking
-            best = np.argsort(-np.round(cosines, 9), axis=0, kind="stable")[:k]
+            best = _lowest(-np.round(cosines, 9), k)
             codes = np.tile(np.arange(len(labels), dtype=np.int32), len(best))
             yield pa.record_batch(
                 [
