@@ -101,6 +101,34 @@ def test_doc_vectors_equal_brute_force(spark, monkeypatch, use_tfidf, broadcast_
         assert np.allclose(found[url], v), url
 
 
+@pytest.mark.parametrize("use_tfidf", [True, False])
+def test_frequent_words_are_added_where_the_document_is(spark, monkeypatch, use_tfidf):
+    """Two words broadcast, the others joined; documents are sorted by no vector, repeated keys are one row."""
+    monkeypatch.setattr(terms, "HEAD_BYTES", 2 * (8 * 3 + 24))
+    random = np.random.default_rng(3)
+    texts = [(f"d{i}", " ".join(f"w{int(w)}" for w in random.zipf(1.4, 12) % 40)) for i in range(300)]
+    df = spark.createDataFrame(texts, "url string, content string").selectExpr("url", "content AS cleaned")
+    vectors = {f"w{i}": [0.1 * i, 1.0, -0.3 * i] for i in range(0, 40, 2)}
+    wv = spark.createDataFrame(list(vectors.items()), "word string, vector array<double>")
+    idf = terms.inverse_doc_freq(terms.term_counts(df), df)
+    vocabulary = wv.withColumnRenamed("word", "token").join(idf.select("token", "idf", "df"), "token", "full_outer")
+    vectorizer = terms.TextVectorizer(vocabulary, 3, vocabulary.count(), use_tfidf=use_tfidf)
+    twice = df.unionByName(df.where("url IN ('d1', 'd2')"))
+    made = vectorizer.transform_cleaned(twice)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and len(vectorizer._head().value[0]) == 2
+    found = {r.url: r.v for r in made.select("url", as_array(F.col("features")).alias("v")).collect()}
+    weights = {r.token: r.idf for r in idf.collect()}
+    assert len(found) == 300
+    for url, text in texts:
+        words = text.split() * (2 if url in ("d1", "d2") else 1)
+        once = text.split()
+        norm = np.sqrt(sum((once.count(w) * weights[w]) ** 2 for w in set(once)) * (len(words) / len(once)))
+        scale = {w: once.count(w) * weights[w] / norm if use_tfidf else 1.0 for w in set(once)}
+        used = [np.array(vectors[w]) * scale[w] for w in words if w in vectors]
+        assert np.allclose(found[url], np.mean(used, axis=0) if used else np.zeros(3)), url
+
+
 @pytest.mark.parametrize("threshold", ["-1", "10MB"])
 def test_tfidf_is_the_same_by_broadcast_and_by_shuffle(spark, threshold):
     df = spark.createDataFrame(TEXTS, "url string, content string")
