@@ -27,7 +27,7 @@ from .base import (
     query,
     table,
     topic_labels,
-    word_vectors,
+    staged_texts,
 )
 from .text import hash_vectorizer
 
@@ -205,9 +205,11 @@ def merge_labels_overlap(spark, sf):
     WHERE rn <= 5""",
 )
 def top_words(spark, sf):
-    vectors = hash_vectorizer(spark, sf).transform(articles(spark, sf))
+    texts = staged_texts(spark, sf)
+    vectorizer = hash_vectorizer(texts)
+    vectors = vectorizer.transform_cleaned(texts)
     labelled = vectors.join(topic_labels(spark, sf), "url").withColumn("label", F.col("l0"))
-    words = D.top_words(G.centroids(labelled), word_vectors(spark, sf))
+    words = D.top_words(G.centroids(labelled), vectorizer.word_vectors)
     return words.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -19,6 +19,7 @@ from .base import (
     TOKENS,
     articles,
     as_sql_list,
+    cleaned,
     embeddings,
     pages,
     query,
@@ -124,7 +125,7 @@ def stage_model(spark, sf):
 @query("load_word_vectors", f"WITH {TOKENS}, {WORD_VECTORS} SELECT token AS word, v1, v2, v3, v4 FROM wv")
 def load_word_vectors(spark, sf):
     path = new_path(spark, "vectors")
-    store.save_stage(word_vectors(spark, sf), path)
+    store.save_stage(word_vectors(cleaned(spark, sf)), path)
     loaded = store.load_word_vectors(spark, path)
     return loaded.select("word", *(F.col("vector")[i].alias(f"v{i + 1}") for i in range(4)))
 
