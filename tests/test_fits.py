@@ -233,6 +233,26 @@ def test_vectors_factor_the_associations(texts, monkeypatch, block, strip, tile)
     assert np.allclose(x @ x.T, (vectors * np.abs(values)) @ vectors.T, atol=1e-3)
 
 
+def test_groups_of_blocks_share_the_factor(texts, monkeypatch):
+    """Several blocks of rows to a task: the same product, the factor moved once per group instead of once per block."""
+    monkeypatch.setattr(word_vectors, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(word_vectors, "STRIP", 3)
+    moved, found = [], []
+    repartition = type(texts).repartition
+
+    def counted(df, n, *columns):
+        if "strip" in columns:
+            moved.append(df.where("payload IS NOT NULL").count())
+        return repartition(df, n, *columns)
+
+    monkeypatch.setattr(type(texts), "repartition", counted)
+    for tasks in (1, 1 << 20):
+        monkeypatch.setattr(word_vectors, "PRODUCT_TASKS", tasks)
+        found.append({r.word: np.array(r.vector) for r in word_vectors.fit_word_vectors(texts, size=8).collect()})
+    assert moved[0] < moved[3] and len(moved) == 6
+    assert found[0].keys() == found[1].keys() and all(np.allclose(v, found[1][w], atol=1e-6) for w, v in found[0].items())
+
+
 def test_vectors_do_not_depend_on_partitions(spark):
     random = np.random.default_rng(0)
     rows = [(i, " ".join(f"w{int(w)}" for w in random.zipf(1.3, 40) % 300)) for i in range(400)]
