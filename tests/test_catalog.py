@@ -65,3 +65,15 @@ def test_level_features_are_as_long_as_the_latent_space(spark, monkeypatch):
     monkeypatch.setattr(models.T, "extract_topic_features", lambda rows, tree, **options: given.update(options))
     models.extract_topic_features(spark, SF)
     assert given == {"key": "vec_id"}
+
+
+def test_both_runs_of_ingest_share_the_profiles(spark, monkeypatch):
+    from topicflow.catalog import ingest as module
+
+    for name in ("ingest", "pages", "_store", "_stored", "new_path", "KnownUrls"):
+        monkeypatch.setattr(module, name, lambda *a, **k: ())
+    learned = []
+    monkeypatch.setattr(module, "profiles", lambda *a: learned.append(a))
+    module.ingested(spark, "sf")
+    module.ingested_with_index(spark, "sf")
+    assert len(learned) == 2

@@ -192,8 +192,9 @@ def _stored(spark, paths):
 def ingested(spark, sf):
     paths = _store(spark)
     # the second run finds every stored and rejected url known; other languages come again and are left out again
+    learned = profiles(spark, sf)
     for _ in range(2):
-        ingest(pages(spark, sf), *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00"))
+        ingest(pages(spark, sf), *paths, learned, LANGUAGES, F.lit("2024-01-01 00:00:00"))
     return _stored(spark, paths)
 
 
@@ -201,8 +202,9 @@ def ingested(spark, sf):
 def ingested_with_index(spark, sf):
     paths = _store(spark)
     known = KnownUrls(spark, new_path(spark, "known"), 8)
+    learned = profiles(spark, sf)
     for _ in range(2):
-        ingest(pages(spark, sf), *paths, profiles(spark, sf), LANGUAGES, F.lit("2024-01-01 00:00:00"), known)
+        ingest(pages(spark, sf), *paths, learned, LANGUAGES, F.lit("2024-01-01 00:00:00"), known)
     return _stored(spark, paths)
 
 
