@@ -25,9 +25,9 @@ from .base import (
     embeddings,
     overlap_sql,
     query,
+    staged_texts,
     table,
     topic_labels,
-    staged_texts,
 )
 from .text import hash_vectorizer
 
