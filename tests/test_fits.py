@@ -253,6 +253,28 @@ def test_groups_of_blocks_share_the_factor(texts, monkeypatch):
     assert found[0].keys() == found[1].keys() and all(np.allclose(v, found[1][w], atol=1e-6) for w, v in found[0].items())
 
 
+def test_batches_of_strips_make_the_same_vectors(texts, monkeypatch):
+    """One strip at a time, or narrow strips for a few wide groups: less on disk at once, the same numbers."""
+    monkeypatch.setattr(word_vectors, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(word_vectors, "STRIP", 3)
+    monkeypatch.setattr(word_vectors, "BATCH_TASKS", 1 << 20)
+    batches, found = [], []
+    batch = word_vectors._batch
+
+    def counted(tiles, vectors, sizes, layout, strips, signs):
+        batches.append((layout.width, layout.wide, len(strips)))
+        return batch(tiles, vectors, sizes, layout, strips, signs)
+
+    monkeypatch.setattr(word_vectors, "_batch", counted)
+    for most, groups in ((1 << 30, 16), (1, 16), (1, 2)):
+        monkeypatch.setattr(word_vectors, "BATCH_BYTES", most)
+        monkeypatch.setattr(word_vectors, "MOST_GROUPS", groups)
+        found.append({r.word: r.vector for r in word_vectors.fit_word_vectors(texts, size=8).collect()})
+    assert [b[2] for b in batches[:3]] == [3] * 3 and all(b == (3, 1, 1) for b in batches[3:12])
+    assert len(batches) > 12 and all(b[0] == 1 and b[1] > 1 and b[2] == 1 for b in batches[12:])
+    assert found[0] == found[1] == found[2]
+
+
 def test_vectors_do_not_depend_on_partitions(spark):
     random = np.random.default_rng(0)
     rows = [(i, " ".join(f"w{int(w)}" for w in random.zipf(1.3, 40) % 300)) for i in range(400)]
