@@ -232,3 +232,28 @@ def test_empty_tables(empty, spark):
         assert cut(empty).collect() == []
     assert cross_entropy_difference(empty, empty).collect() == []
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_a_group_of_near_copies_meets_few_hubs(spark, monkeypatch):
+    """The buckets of a large group choose the same hubs: pairs grow with its members, not with members and bands."""
+    from topicflow.llm import minhash
+    from topicflow.session import materialize
+
+    random = np.random.default_rng(0)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[random.integers(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    counts = {}
+
+    def counted(df, *by, name="stage"):
+        table = materialize(df, *by, name=name)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0}
+    assert counts["compared"] < 4 * minhash.HUBS * len(rows)

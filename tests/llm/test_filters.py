@@ -3,7 +3,7 @@ import pyarrow as pa
 from brute import by_id
 from pyspark.sql import functions as F
 
-from topicflow.llm import queries
+from topicflow.llm import queries, toxicity
 from topicflow.llm.frames import held_out
 from topicflow.llm.languages import LanguageFilters, fit_languages, identify_languages
 from topicflow.llm.mixing import mix_rates, mix_sources
@@ -188,3 +188,30 @@ def test_mix_emits_the_counted_copies(odd):
 
 def test_mix_of_an_empty_table(empty):
     assert mix_sources(empty).collect() == []
+
+
+def _insulting(rows, seed):
+    """Texts of ten usual words, every eighth with one of ten insults, as terms, bounds and labels."""
+    random = np.random.default_rng(seed)
+    labels = (np.arange(rows) % 8 == 0).astype(float)
+    texts = [np.unique(random.integers(100, 600, 10)) for _ in range(rows)]
+    texts = [np.append(t, random.integers(1000, 1010)) if m else t for t, m in zip(texts, labels)]
+    return np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), labels
+
+
+def test_scores_of_rare_insults_reach_the_threshold():
+    """Weights of rare terms are held back; what that takes from the scores is read off texts not learned from."""
+    term, bounds, labels = _insulting(1200, 0)
+    machine = toxicity.train_machine(term, bounds, labels)
+    held_back = toxicity._fit(*toxicity._distinct(term, bounds, labels))
+    term, bounds, labels = _insulting(4000, 1)
+    caught = lambda m: (m.scores(term, bounds) >= toxicity.THRESHOLD)
+    assert caught(held_back)[labels == 1].mean() < 0.85 and caught(machine)[labels == 1].mean() > 0.88
+    assert caught(machine)[labels == 0].mean() < 0.01
+
+
+def test_calibration_stays_near_the_scores_of_few_labels():
+    slope, shift = toxicity.calibration(np.array([3.0, -3.0]), np.array([1.0, 0.0]))
+    assert 1 <= slope < 1.2 and abs(shift) < 1e-6
+    slope, shift = toxicity.calibration(np.array([5.0, -5.0] * 50), np.array([0.0, 1.0] * 50))
+    assert slope == 1 and abs(shift) < 1e-6

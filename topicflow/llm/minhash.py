@@ -168,8 +168,12 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _hubs(placed: DataFrame) -> DataFrame:
-    """(bucket, hubs) of the buckets that hold several sets: ``HUBS`` members, some perhaps the same."""
-    order = [F.struct(F.xxhash64("set_id", "bucket", F.lit(i)).alias("h"), "set_id") for i in range(HUBS)]
+    """(bucket, hubs) of the buckets that hold several sets: ``HUBS`` members, some perhaps the same.
+
+    The order is the same for all buckets, so those of one group of near copies mostly choose the same
+    hubs, and a set meets a few hubs, not some others in each of its bands.
+    """
+    order = [F.struct(F.xxhash64("set_id", F.lit(i)).alias("h"), "set_id") for i in range(HUBS)]
     found = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.array(*[F.min(o) for o in order]).alias("hubs"))
     return found.where("_n > 1").select("bucket", F.col("hubs.set_id").alias("hubs"))
 
