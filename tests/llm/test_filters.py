@@ -215,3 +215,21 @@ def test_calibration_stays_near_the_scores_of_few_labels():
     assert 1 <= slope < 1.2 and abs(shift) < 1e-6
     slope, shift = toxicity.calibration(np.array([5.0, -5.0] * 50), np.array([0.0, 1.0] * 50))
     assert slope == 1 and abs(shift) < 1e-6
+
+
+def test_a_beginning_is_known_with_a_new_ending():
+    random = np.random.default_rng(5)
+    usual = [f"w{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(300)]
+    text = lambda insult: " ".join([*random.choice(usual, 30), *([insult] if insult else [])])
+    learned = [text(f"réeu{e}" if i % 8 == 0 else "") for i, e in enumerate(random.choice(usual[:150], 800))]
+    asked = [text(f"réeu{e}") for e in usual[150:200]] + [text("") for _ in range(200)]
+
+    def hashed(texts):
+        (chunk,) = toxicity.chunks(pa.array(texts))
+        return toxicity.terms(chunk)
+
+    machine = toxicity.train_machine(*hashed(learned), (np.arange(800) % 8 == 0).astype(float))
+    found = machine.scores(*hashed(asked)) >= toxicity.THRESHOLD
+    assert found[:50].mean() > 0.9 and found[50:].mean() < 0.05
+    # a word of four letters is no beginning, and the same letters have two terms
+    assert [len(hashed([t])[0]) for t in ("réeu", "réeux", "réeu réeux", "réeux réeuy", "")] == [1, 2, 3, 3, 0]

@@ -1,7 +1,9 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text is the set of its distinct words, ASCII letters in lower case, hashed into a fixed number of
-columns.  The model adds a weight per term and, per pair of terms, the product of their factor
+A text is the set of its distinct words, ASCII letters in lower case, and of the first letters of its
+longer words, hashed into a fixed number of columns: an insult that takes many endings is known by how
+it begins, also with an ending that was never learned.  Pairs are looked for among whole words, as a word
+and its own beginning always meet.  The model adds a weight per term and, per pair of terms, the product of their factor
 vectors: an insult next to the mention of a group may weigh more than both alone.  It is fitted
 with a logistic loss on a bounded sample of labelled rows, by mini-batches in one fixed order.
 
@@ -25,6 +27,8 @@ from .frames import column, fresh, hash_order, require, small_batches
 from .texts import U64, Chunk, RollingHash, _BYTE_CODE, chunks, mix, runs
 
 COLUMNS = 1 << 20
+BEGINNING = 4  # letters of a longer word that are a term of their own
+WIDTH = COLUMNS + (1 << 18)  # words, then beginnings
 FACTORS = 8
 # at most about this many labelled rows are learned from, chosen by hash
 SAMPLE_ROWS = 20_000
@@ -48,8 +52,15 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def _after_letters(data: np.ndarray, begins: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` UTF-8 characters from each of ``begins`` end; the end of the data if there are fewer."""
+    characters = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.searchsorted(characters, begins) + count
+    return np.concatenate([characters, np.full(count, len(data))])[at]
+
+
 def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed distinct terms of all texts, and where each text's terms begin."""
+    """Hashed distinct terms of all texts, words and beginnings of words, and where each text's terms begin."""
     lowered = chunk.lowered()
     letter = _LETTER[lowered.data]
     starts, stops = letter.copy(), letter.copy()
@@ -60,8 +71,13 @@ def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     starts[edges] = letter[edges]
     stops[edges - 1] = letter[edges - 1]
     begins, ends = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    term = RollingHash(_BYTE_CODE[lowered.data]).spans(begins, ends) % U64(COLUMNS)
+    hashes = RollingHash(_BYTE_CODE[lowered.data])
     owner = np.searchsorted(lowered.offsets, begins, "right") - 1
+    cuts = _after_letters(lowered.data, begins, BEGINNING)
+    longer = np.flatnonzero(cuts < ends)
+    beginning = U64(COLUMNS) + hashes.spans(begins[longer], cuts[longer]) % U64(WIDTH - COLUMNS)
+    term = np.concatenate([hashes.spans(begins, ends) % U64(COLUMNS), beginning])
+    owner = np.concatenate([owner, owner[longer]])
     pairs = np.unique((owner.astype(U64) << U64(32)) | term)
     owner = (pairs >> U64(32)).astype(np.int64)
     return (pairs & U64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(owner, np.arange(chunk.texts + 1))
@@ -78,7 +94,7 @@ class FactorizationMachine:
 
     @cached_property
     def rows(self) -> np.ndarray:
-        rows = np.zeros(COLUMNS, np.int32)
+        rows = np.zeros(WIDTH, np.int32)
         rows[self.used] = np.arange(1, len(self.used) + 1)
         return rows
 
@@ -279,10 +295,12 @@ def _fit(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Factorizat
     )
     if share <= 0 or share >= 1:
         return machine
-    texts = np.bincount(term, minlength=COLUMNS)
-    marked = np.bincount(term, np.repeat(labels, np.diff(bounds)), COLUMNS)
+    texts = np.bincount(term, minlength=WIDTH)
+    marked = np.bincount(term, np.repeat(labels, np.diff(bounds)), WIDTH)
     inputs = term_inputs(texts, marked, share)
-    one, other, gaps = term_pairs(term, bounds, labels, texts, marked)
+    words = term < COLUMNS
+    own = np.concatenate([[0], np.cumsum(words)])[bounds]
+    one, other, gaps = term_pairs(term[words], own, labels, texts[:COLUMNS], marked[:COLUMNS])
     inputs[one] = inputs[other] = 1.0
     machine.used = np.flatnonzero(inputs >= LEAST_INPUT)
     row, bounds = known_cells(machine.rows[term], bounds)
@@ -293,6 +311,8 @@ def _fit(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Factorizat
     factors[0] = 0
     _begin(factors, inputs, machine.rows[one], machine.rows[other], gaps)
     bias, past_weights, past_factors = machine.bias, 1e-3, 1e-3
+    place = np.zeros(len(weights), np.int64)
+    seen = np.zeros(len(weights), bool)
     for _ in range(EPOCHS):
         order = random.permutation(len(labels))
         for begin in range(0, len(order), BATCH):
@@ -300,21 +320,29 @@ def _fit(term: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Factorizat
             counts = bounds[batch + 1] - bounds[batch]
             cells = row[runs(bounds[batch], counts)]
             owner = np.repeat(np.arange(len(batch)), counts)
-            used, place = np.unique(cells, return_inverse=True)
+            seen[cells] = True
+            used = np.flatnonzero(seen)
+            seen[used] = False
+            place[used] = np.arange(len(used))
+            # texts by terms; sums over a text's or a term's cells are products with it
+            table = np.zeros((len(batch), len(used)), np.float32)
+            table[owner, place[cells]] = 1
             x = inputs[used]
             own = factors[used] * x[:, None]
-            values, sums = _sums(weights[used] * x, own, place, np.concatenate([[0], np.cumsum(counts)]))
+            parts = np.column_stack([weights[used] * x - 0.5 * np.square(own).sum(axis=1), own])
+            found = (table @ parts.astype(np.float32)).astype(np.float64)
+            sums = found[:, 1:]
+            values = found[:, 0] + 0.5 * np.square(sums).sum(axis=1)
             slope = (_sigmoid(bias + values) - labels[batch]) / len(batch)
             bias -= RATE * 0.3 * slope.sum()
             if not len(cells):
                 continue
-            step = np.bincount(place, slope[owner]) * x + DECAY * weights[used]
+            back = np.column_stack([slope, slope[:, None] * sums]).astype(np.float32)
+            back = (table.T @ back).astype(np.float64)
+            step = back[:, 0] * x + DECAY * weights[used]
             past_weights += np.square(step).sum()
             weights[used] -= RATE * step / np.sqrt(past_weights)
-            pair = slope[owner, None] * (sums[owner] - own[place])
-            by_term = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by_term], np.arange(len(used)))
-            step = np.add.reduceat(pair[by_term], cuts, axis=0) * x[:, None] + DECAY * factors[used]
+            step = (back[:, 1:] - own * back[:, :1]) * x[:, None] + DECAY * factors[used]
             past_factors += np.square(step).sum()
             factors[used] -= RATE * step / np.sqrt(past_factors)
     machine.bias, machine.weights, machine.factors = bias, weights * inputs, factors * inputs[:, None]
@@ -379,7 +407,7 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 def with_score(df: DataFrame, machine: FactorizationMachine, text: Column, name: str) -> DataFrame:
     """Adds the double ``name``."""
-    shared = df.sparkSession.sparkContext.broadcast(machine)  # at most COLUMNS * (FACTORS + 2) numbers
+    shared = df.sparkSession.sparkContext.broadcast(machine)  # at most WIDTH * (FACTORS + 2) numbers
 
     def score(texts: pa.Array) -> pa.Array:
         parts = [shared.value.scores(*terms(chunk)) for chunk in chunks(texts, 1 << 20)]
