@@ -75,3 +75,12 @@ def test_frontier_equals_a_search(spark):
         expected = {(u, d, u in graph) for u, d in depth.items() if d <= rounds}
         assert {tuple(r) for r in P.link_frontier(df, starts, rounds).collect()} == expected
     assert P.link_frontier(df, starts.limit(0)).collect() == []
+
+
+def test_a_link_is_resolved_once(spark):
+    pages = spark.createDataFrame([("http://a.b/c/d", '<a href="../x?p=1&amp;q=2"><a href=y.css><a href="/&#228;">')], "url string, html string")
+    found = P.page_links(pages)
+    assert sorted(r.url for r in found.collect()) == ["http://a.b/x?p=1&q=2", "http://a.b/ä"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a filter on the rows would hold the resolving expression again, once per condition
+    assert plan.count("Filter") == 0 and plan.count("Generate") == 1

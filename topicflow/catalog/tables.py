@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import as_array
 from ..operators.dedup import fetch_stats, new_urls
 from ..operators.groups import default_topic_names
-from ..session import new_path
+from ..session import materialize, new_path
 from ..sources import store
 from ..sources.known_urls import KnownUrls
 from ..sources.pages import ENTITIES, discover_urls, extract_articles, link_frontier, site_of
@@ -221,7 +221,8 @@ def new_urls_of_links(spark, sf):
 def unknown_links(spark, sf):
     known = KnownUrls(spark, new_path(spark, "known"), 8)
     known.add(pages(spark, sf))
-    return known.unknown(_candidates(spark, sf))
+    # read twice, for their distinct urls and as rows
+    return known.unknown(materialize(_candidates(spark, sf), name="candidates"))
 
 
 @query(

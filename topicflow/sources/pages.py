@@ -52,12 +52,19 @@ def _characters(col: Column, pattern: str, base: int, mark: str) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    # the ampersand last, so that what it uncovers is not resolved again
-    for entity, character in ENTITIES.items():
-        if entity != "&amp;":
-            col = F.replace(col, F.lit(entity), F.lit(character))
-    col = _characters(_characters(col, NUMERIC, 10, "&#"), HEXADECIMAL, 16, "&#x")
-    return F.replace(col, F.lit("&amp;"), F.lit("&"))
+    """Entities as their characters; a text without an ampersand is looked at once."""
+
+    def resolved(text: Column) -> Column:
+        # the ampersand last, so that what it uncovers is not resolved again
+        named = text
+        for entity, character in ENTITIES.items():
+            if entity != "&amp;":
+                named = F.replace(named, F.lit(entity), F.lit(character))
+        decimal = _let(named, lambda t: _characters(t, NUMERIC, 10, "&#"))
+        numeric = _let(decimal, lambda t: _characters(t, HEXADECIMAL, 16, "&#x"))
+        return F.when(F.contains(text, F.lit("&")), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+    return _let(col, resolved)
 
 
 def without_hidden(html: Column) -> Column:
@@ -192,15 +199,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page, site, url) of the links on each page, files that are no pages left out.
 
     Relative links are resolved against ``<base>`` or the page's own address; entities are resolved,
-    links may stand without quotes.
+    links may stand without quotes.  Links are resolved inside their page's array: a filter on rows
+    would resolve each of them again.
     """
     given = _unquoted(F.regexp_extract("html", BASE, 1))
     base = F.coalesce(resolve_url(F.col("url"), given), F.col("url"))
-    links = pages.select(
-        F.col("url").alias("page"), base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link")
-    )
-    found = links.select("page", site_of(F.col("page")).alias("site"), resolve_url(F.col("base"), _unquoted(F.col("link"))).alias("url"))
-    return found.where(F.col("url").isNotNull() & ~F.col("url").rlike(NOT_PAGES))
+    links = F.regexp_extract_all("html", F.lit(HREF), F.lit(1)).alias("links")
+    rows = pages.select(F.col("url").alias("page"), site_of(F.col("url")).alias("site"), base.alias("base"), links)
+    urls = F.transform("links", lambda link: resolve_url(F.col("base"), _unquoted(link)))
+    found = F.filter(urls, lambda url: url.isNotNull() & ~url.rlike(NOT_PAGES))
+    return rows.select("page", "site", F.explode(found).alias("url"))
 
 
 def discover_urls(pages: DataFrame) -> DataFrame:
