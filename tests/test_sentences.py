@@ -1,7 +1,8 @@
 import pytest
 
+from topicflow.operators import sentence_ends
 from topicflow.operators.lemmas import lemma_dictionary
-from topicflow.operators.sentence_ends import abbreviations, learned_sentences
+from topicflow.operators.sentence_ends import abbreviations, learned_sentences, stop_counts
 from topicflow.operators.terms import lemmatize
 
 STORY = [
@@ -58,3 +59,20 @@ def test_lemmas_from_rules(spark):
     lemmas = lemma_dictionary(forms, vocabulary, exceptions)
     assert sorted(r.token for r in lemmatize(tokens, lemmas).collect()) == ["dog", "glass"]
     assert lemma_dictionary(forms.limit(0), vocabulary).isEmpty()
+
+
+def test_counts_of_odd_tokens(spark):
+    texts = spark.createDataFrame([("Mr. (e.g.) a.b.. don't x-y \"Q.\", .z z.\u0085",), ("mr 3rd. Été. ((é.t.é.\")\n",), (None,)], "content string")
+    found = {r.word: (r.dotted, r.plain) for r in stop_counts(texts).collect()}
+    assert found == {"mr": (1, 1), "e.g": (1, 0), "q": (1, 0), "z": (1, 0), "été": (1, 0), "é.t.é": (1, 0)}
+
+
+def test_few_and_many_abbreviations_give_the_same(texts, monkeypatch):
+    known = abbreviations(texts)
+    few = learned_sentences(texts, known)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # the texts stay where they lie
+    monkeypatch.setattr(sentence_ends, "FEW", 1)
+    many = learned_sentences(texts, known)
+    assert "Join" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
