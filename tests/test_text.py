@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,27 @@ def test_language(spark):
     found = {r.url: r.language for r in detect_language(df, profiles, ["de", "en"]).collect()}
     assert found == {"a": "en", "b": "de"}
     assert [r.url for r in select_language(df, profiles, ["de", "en"]).collect()] == ["a"]
+
+
+def test_language_workers_get_small_batches(spark):
+    """A worker's memory follows the bytes of a batch, whatever the number and length of the texts."""
+    from topicflow.operators.lang import BATCH_CHARACTERS, language_of
+    from topicflow.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    labelled = spark.createDataFrame([("en", "the cat"), ("de", "die katze")], "lang string, content string")
+    spark.conf.unset(key)
+    profiles = fit_language_profiles(labelled, ["de", "en"])
+    assert spark.conf.get(key) == f"{BATCH_BYTES}b"
+    spark.conf.unset(key)
+    language_of(profiles, ["de", "en"])
+    assert spark.conf.get(key) == f"{BATCH_BYTES}b"
+
+    def size(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.get_total_buffer_size()], pa.int64())], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("t"))  # 30 MB in one task
+    sizes = [r.n for r in rows.mapInArrow(size, "n long").collect()]
+    assert len(sizes) > 5 and max(sizes) < 3 * BATCH_BYTES
+    assert BATCH_CHARACTERS * 8 <= BATCH_BYTES

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES as BATCH_BYTES
+from ..session import small_batches as small_batches
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names close to ``names`` that no column of ``df`` has, whatever its upper and lower case."""
@@ -36,16 +39,6 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-# of the texts that a Python worker holds at once
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session by bytes, so that a worker's memory does not follow the
-    length of the texts; the default, 64 MB, is much for several workers in one executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-
-
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small_batches
 
 SLOTS = 1 << 14
 SMOOTHING = 0.5
@@ -30,7 +30,8 @@ def letters(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-BATCH_CHARACTERS = 1 << 20
+# numbers of 64 bits for each of them, several at a time
+BATCH_CHARACTERS = 1 << 18
 
 
 def trigram_slots(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,6 +57,7 @@ def trigram_slots(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: str = "content") -> DataFrame:
     """One row per slot: smoothed log probabilities, one per language in the given order."""
+    small_batches(labelled.sparkSession)
     index = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +92,7 @@ def fit_language_profiles(labelled: DataFrame, languages: Sequence[str], text: s
 
 def language_of(profiles: DataFrame, languages: Sequence[str]):
     """A column function: text → (language, score); null for a text without trigrams."""
+    small_batches(profiles.sparkSession)
     table = profiles.toArrow().sort_by("slot")  # SLOTS rows by construction
     log_p = np.array(table.column("log_p").to_pylist()).T.copy()
     names = pa.array(languages, pa.string())
