@@ -253,6 +253,35 @@ def test_groups_of_blocks_share_the_factor(texts, monkeypatch):
     assert found[0].keys() == found[1].keys() and all(np.allclose(v, found[1][w], atol=1e-6) for w, v in found[0].items())
 
 
+def test_rows_of_cells_are_multiplied_together(monkeypatch):
+    """A sparse block times a factor: as the dense product, with a few gathers instead of one per so many cells."""
+    random = np.random.default_rng(4)
+    counts = np.concatenate([random.integers(0, 12, 3000), [500, 40, 40]])
+    rows = np.repeat(np.arange(len(counts)), counts)
+    b = random.integers(0, 700, len(rows))
+    v, factor = random.random(len(rows)).astype(np.float32), random.random((700, 5)).astype(np.float32)
+    dense = np.zeros((len(counts), 700))
+    np.add.at(dense, (rows, b), v)
+    total = np.ones((len(counts), 5), np.float32)
+    gathers, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda *a, **k: gathers.append(1) or take(*a, **k))
+    word_vectors._add_rows(total, rows, b, v, factor)
+    assert np.allclose(total, 1 + dense @ factor, rtol=1e-5)
+    assert 0 < len(gathers) < 60 < len(counts)
+
+
+def test_a_cell_moves_as_one_number(texts):
+    """Tiles are dealt and sorted by one place and hold all cells, in their order, whatever the blocks."""
+    cells = [(i, a, j, b, float(i + a + j + b)) for i in range(3) for j in range(3) for a in (0, 4095, 4096, 40000) for b in (1, 65535)]
+    df = texts.sparkSession.createDataFrame(cells, "block_a int, slot_a int, block_b int, slot_b int, pmi double")
+    found = []
+    for t in word_vectors._tiles(df, 3).collect():
+        a, b, v = np.frombuffer(t.a, np.uint16), np.frombuffer(t.b, np.uint16), np.frombuffer(t.v, np.float32)
+        assert (np.diff(a.astype(int) * 65536 + b) >= 0).all() and set(a // 4096) == {t.rows}
+        found += [(t.i, int(x), t.j, int(y), float(n)) for x, y, n in zip(a, b, v)]
+    assert sorted(found) == sorted(cells + [(j, b, i, a, n) for i, a, j, b, n in cells])
+
+
 def test_batches_of_strips_make_the_same_vectors(texts, monkeypatch):
     """One strip at a time, or narrow strips for a few wide groups: less on disk at once, the same numbers."""
     monkeypatch.setattr(word_vectors, "BLOCK_WORDS", 2)
