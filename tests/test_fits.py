@@ -254,20 +254,24 @@ def test_groups_of_blocks_share_the_factor(texts, monkeypatch):
 
 
 def test_rows_of_cells_are_multiplied_together(monkeypatch):
-    """A sparse block times a factor: as the dense product, with a few gathers instead of one per so many cells."""
+    """A sparse block times a factor: to the bit what ``reduceat`` gives, with a few gathers instead of one per so many cells."""
     random = np.random.default_rng(4)
     counts = np.concatenate([random.integers(0, 12, 3000), [500, 40, 40]])
     rows = np.repeat(np.arange(len(counts)), counts)
     b = random.integers(0, 700, len(rows))
     v, factor = random.random(len(rows)).astype(np.float32), random.random((700, 5)).astype(np.float32)
-    dense = np.zeros((len(counts), 700))
-    np.add.at(dense, (rows, b), v)
-    total = np.ones((len(counts), 5), np.float32)
+    begins = np.diff(rows, prepend=-1) != 0
+    begins[::128] = True
+    expected, total = np.ones((len(counts), 5), np.float32), np.ones((len(counts), 5), np.float32)
+    for at in range(0, len(rows), 128):
+        cut = slice(at, at + 128)
+        first = np.flatnonzero(np.diff(rows[cut], prepend=-1))
+        expected[rows[cut][first]] += np.add.reduceat(factor[b[cut]] * v[cut, None], first, axis=0)
     gathers, take = [], np.take
     monkeypatch.setattr(np, "take", lambda *a, **k: gathers.append(1) or take(*a, **k))
-    word_vectors._add_rows(total, rows, b, v, factor)
-    assert np.allclose(total, 1 + dense @ factor, rtol=1e-5)
-    assert 0 < len(gathers) < 60 < len(counts)
+    word_vectors._add_rows(total, rows, b, v, begins, factor)
+    assert (total == expected).all()
+    assert 0 < len(gathers) < 200 < len(counts)
 
 
 def test_a_cell_moves_as_one_number(texts):
@@ -322,3 +326,38 @@ def test_no_words_no_vectors(spark):
     assert word_vectors.fit_word_vectors(none).collect() == []
     alone = spark.createDataFrame([(0, "a"), (1, "a")], "url int, cleaned string")
     assert [(r.word, set(r.vector)) for r in word_vectors.fit_word_vectors(alone, size=3).collect()] == [("a", {0.0})]
+
+
+def test_classifier_passes_read_latent_features(spark, monkeypatch):
+    """The passes read as many numbers a row as there are latent features, and fit what passes over the vectors would."""
+    from topicflow.operators import node_fits
+
+    random = np.random.default_rng(8)
+    x = random.normal(size=(120, 12)) + 3 * np.eye(12)[np.arange(120) % 3]
+    data = [(n, i % 3, 0, v.tolist()) for n in (0, 4) for i, v in enumerate(x * (n + 1))]
+    rows = spark.createDataFrame([*data, (9, 0, 0, x[0].tolist())], "node int, label int, draw long, features array<double>").repartition(3)
+    moments = node_fits.label_moments(rows, {0: 3, 4: 3})
+    latents = {n: node_fits.discriminant_features(m, 5) for n, m in moments.items()}
+    widths, summed = [], node_fits.summed
+
+    def seen(table, statistic):
+        widths.append({len(r.features) for r in table.select("features").collect()})
+        return summed(table, statistic)
+
+    monkeypatch.setattr(node_fits, "summed", seen)
+    found = node_fits.fit_classifiers(rows, latents, moments, 4)
+    assert widths == [{5}] * 4 and found.keys() == {0, 4}
+    for node, own in found.items():
+        latent, m, labels = latents[node], moments[node], np.arange(120) % 3
+        z = np.hstack([latent.of(x * (node + 1)), np.ones((120, 1))])
+        means = latent.of(m.sums / m.counts[:, None])
+        theta = np.vstack([means.T, np.log(m.counts / 120) - 0.5 * (means**2).sum(axis=1)])
+        square = np.eye(6)
+        square[:5, :5] = latent.projection.T @ m.scatter()[0] @ latent.projection
+        step = np.linalg.inv(0.5 * square + node_fits.DECAY * np.eye(6))
+        for _ in range(4):
+            shares = np.exp(z @ theta)
+            slope = z.T @ (np.eye(3)[labels] - shares / shares.sum(axis=1, keepdims=True)) / 120
+            slope[:-1] -= node_fits.DECAY * theta[:-1]
+            theta = theta + step @ slope
+        assert np.allclose(np.vstack([own.weights, own.offset]), theta, atol=1e-9)
